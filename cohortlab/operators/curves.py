@@ -119,12 +119,16 @@ def pr_curve(by_value: DataFrame) -> DataFrame:
 
 
 def calibration_curve(predictions: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:
-    """Mean predicted against observed share per bin; inner edges belong to the lower bin."""
+    """Mean predicted against observed share per bin; inner edges belong to the lower bin.
+
+    The sum is rounded instead of the mean, so that the order of addition cannot
+    show in the result.
+    """
     bin_no = steps_passed(F.col("p"), [i / bins for i in range(1, bins)], strict=True) + 1
     return predictions.groupBy(*KEYS, bin_no.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("p"), DIGITS).alias("mean_predicted"),
-        F.round(F.avg(F.col("y").cast("double")), DIGITS).alias("fraction_positive"),
+        (F.round(F.sum("p"), DIGITS) / F.count(F.lit(1))).alias("mean_predicted"),
+        (F.sum("y") / F.count(F.lit(1))).alias("fraction_positive"),
     )
 
 

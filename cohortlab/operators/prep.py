@@ -13,10 +13,11 @@ from cohortlab.functions.expressions import count_where, ratio
 SCALE_DIGITS = 6
 
 
-def encode_labels(df: DataFrame, columns) -> DataFrame:
+def encode_labels(df: DataFrame, columns, fit_on: DataFrame | None = None) -> DataFrame:
     """Replace string columns by the index of the value in sorted order, from 0.
 
-    An unseen or null value raises an error when the result is computed.
+    The values come from ``fit_on`` (``df`` itself by default).  An unseen or null
+    value raises an error when the result is computed.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
@@ -25,7 +26,8 @@ def encode_labels(df: DataFrame, columns) -> DataFrame:
     indexer = StringIndexer(
         inputCols=columns, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="error"
     )
-    out = indexer.fit(df.select(*columns)).transform(df)
+    fitted = indexer.fit((df if fit_on is None else fit_on).select(*columns))
+    out = fitted.transform(df)
     codes = dict(zip(columns, indexed))
     return out.select(*[F.col(codes[c]).cast("int").alias(c) if c in codes else F.col(c) for c in df.columns])
 
