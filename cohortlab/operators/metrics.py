@@ -192,28 +192,33 @@ def threshold_table(predictions: DataFrame, thresholds=THRESHOLDS, names=("balan
     per_band = predictions.groupBy(*KEYS, band.alias("_band")).agg(
         count_where(F.col("y") == 1).alias("_pos"), count_where(F.col("y") == 0).alias("_neg")
     )
-    wide = per_band.groupBy(*KEYS).agg(
+    sides = per_band.groupBy(*KEYS).agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("_band") == b, F.col(f"_{side}"))), F.lit(0)).alias(f"{side}{b}")
-            for b in range(bands)
-            for side in ("pos", "neg")
+            F.array(
+                *[
+                    F.coalesce(F.sum(F.when(F.col("_band") == b, F.col(side))), F.lit(0).cast("bigint"))
+                    for b in range(bands)
+                ]
+            ).alias(side)
+            for side in ("_pos", "_neg")
         ]
     )
 
-    def total(side, first, last):
-        return add_all([F.col(f"{side}{b}") for b in range(first, last)])
-
-    rows = [
-        F.struct(
-            F.lit(th).alias("threshold"),
-            total("pos", i + 1, bands).alias("tp"),
-            total("neg", i + 1, bands).alias("fp"),
-            total("neg", 0, i + 1).alias("tn"),
-            total("pos", 0, i + 1).alias("fn"),
-        )
-        for i, th in enumerate(thresholds)
-    ]
-    counts = wide.select(*KEYS, F.explode(F.array(*rows)).alias("t")).select(*KEYS, "t.*")
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    # Threshold i (from 0) is passed by the bands above i.
+    step = F.posexplode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("_i", "threshold")
+    grid = sides.select(*KEYS, "_pos", "_neg", step)
+    above, below = (lambda c: F.slice(c, F.col("_i") + 2, F.lit(bands))), (lambda c: F.slice(c, 1, F.col("_i") + 1))
+    counts = grid.select(
+        *KEYS,
+        "threshold",
+        total(above("_pos")).alias("tp"),
+        total(above("_neg")).alias("fp"),
+        total(below("_neg")).alias("tn"),
+        total(below("_pos")).alias("fn"),
+    )
     return score_counts(counts, list(names)).drop("tp", "fp", "tn", "fn")
 
 

@@ -159,37 +159,10 @@ def _vectors(df: DataFrame, id_col: str, id_name: str, features, carry=()) -> Da
     return df.select(F.col(id_col).cast("bigint").alias(id_name), *cols, *extra)
 
 
-def knn_join(
-    queries: DataFrame,
-    points: DataFrame,
-    features,
-    k: int,
-    query_id: str,
-    point_id: str,
-    exclude_self: bool = False,
-    carry=(),
+def _pruned_search(
+    asked: DataFrame, kept: DataFrame, n: int, depth: int, f_cols, c_cols, k: int, exclude_self: bool
 ) -> DataFrame:
-    """The k nearest points of every query by Euclidean distance, ties by point id.
-
-    Returns ``query_id, neighbor_rank, neighbor_id, d2`` (squared distance) and
-    one double column ``nn_<c>`` for every point column in ``carry``.
-    """
-    features, carry = list(features), list(carry)
-    f_cols = [f"_f{i}" for i in range(len(features))]
-    c_cols = [f"_c{i}" for i in range(len(carry))]
-
-    copies = Window.partitionBy(*f_cols).orderBy(_P)
-    kept = (
-        _vectors(points, point_id, _P, features, carry)
-        .withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= k + int(exclude_self))
-        .drop("_copy")
-    )
-    kept = materialize(kept, "points")
-    n = kept.count()
-    cells = min(MAX_CELLS, max(1, n // CELL_ROWS))
-    depth = int(np.ceil(np.log2(cells)))
-
+    """Candidates of every query from the cells that its bound cannot rule out."""
     share = min(1.0, CUT_SAMPLE / max(n, 1))
     sample = kept.select(*f_cols)
     sample = sample if share == 1.0 else sample.sample(share, seed=7)
@@ -259,7 +232,6 @@ def knn_join(
                 out = part[[_Q, *f_cols]].iloc[row[new]]
                 yield out.assign(_cell=cell[new].astype("int32"), _chunk=chunk[new].astype("int32"))
 
-    asked = _vectors(queries, query_id, _Q, features)
     first = materialize(asked.mapInPandas(first_visit, visit_schema), "visits")
     found = _scan(first, blocks, f_cols, c_cols, k, exclude_self)
     if len(box_cell) > 1 or box_chunks.max(initial=1) > 1:
@@ -267,6 +239,47 @@ def knn_join(
         later = found.select(_Q, *f_cols, "_cell", "_chunk", "_d2").mapInPandas(later_visits, visit_schema)
         later = materialize(later, "visits")
         found = found.unionByName(_scan(later, blocks, f_cols, c_cols, k, exclude_self))
+    return found
+
+
+def knn_join(
+    queries: DataFrame,
+    points: DataFrame,
+    features,
+    k: int,
+    query_id: str,
+    point_id: str,
+    exclude_self: bool = False,
+    carry=(),
+) -> DataFrame:
+    """The k nearest points of every query by Euclidean distance, ties by point id.
+
+    Returns ``query_id, neighbor_rank, neighbor_id, d2`` (squared distance) and
+    one double column ``nn_<c>`` for every point column in ``carry``.
+    """
+    features, carry = list(features), list(carry)
+    f_cols = [f"_f{i}" for i in range(len(features))]
+    c_cols = [f"_c{i}" for i in range(len(carry))]
+
+    copies = Window.partitionBy(*f_cols).orderBy(_P)
+    kept = (
+        _vectors(points, point_id, _P, features, carry)
+        .withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= k + int(exclude_self))
+        .drop("_copy")
+    )
+    kept = materialize(kept, "points")
+    n = kept.count()
+    cells = min(MAX_CELLS, max(1, n // CELL_ROWS))
+    depth = int(np.ceil(np.log2(cells)))
+
+    asked = _vectors(queries, query_id, _Q, features)
+    if depth == 0 and n <= MAX_CHUNK:
+        # One block holds all points: nothing to prune.
+        here = {"_cell": F.lit(0), "_chunk": F.lit(0)}
+        found = _scan(asked.withColumns(here), kept.withColumns(here), f_cols, c_cols, k, exclude_self)
+    else:
+        found = _pruned_search(asked, kept, n, depth, f_cols, c_cols, k, exclude_self)
 
     width = len(carry)
     pairs = found.select(_Q, F.posexplode("_ids").alias("_i", "neighbor_id"), "_d2", "_more")

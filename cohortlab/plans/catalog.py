@@ -188,7 +188,7 @@ def repeated_splits(spark, sf):
 
 
 def train_test_union(spark, sf):
-    data = sampling.stratified_split(cohort(spark, sf), ORDERS)
+    data = materialize(sampling.stratified_split(cohort(spark, sf), ORDERS), "split")
     parts = [split_of(data, s).select(ID, *LEAN.features, TARGET) for s in ("train", "test")]
     return parts[0].unionByName(parts[1])
 

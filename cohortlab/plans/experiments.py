@@ -16,7 +16,6 @@ from cohortlab.session import materialize, scratch_path
 from cohortlab.spec import CohortSpec
 
 PREDICTIONS_SCHEMA = "experiment string, model string, row_id bigint, y int, p double, yhat int"
-ROWS_PER_TASK = 20_000  # iterative training on a small table is faster in few tasks
 STATUS_SCHEMA = "experiment string, model string, status string, error string, seconds double"
 
 
@@ -75,17 +74,12 @@ def prepare(
 def training_table(train: DataFrame, spec: CohortSpec, ratio: float | None, seed: int) -> DataFrame:
     """Training rows with id, target and features, rebalanced if a ratio is given."""
     if ratio is None:
-        return _few_tasks(train.select(spec.id_col, spec.target, *spec.features))
+        return train.select(spec.id_col, spec.target, *spec.features)
     n_neg, n_pos = prep.class_counts(train, spec.target)
     if min(n_neg, n_pos) >= ratio * max(n_neg, n_pos):
         raise ValueError(f"classes {n_neg}/{n_pos} already exceed ratio {ratio}")
     table = balance.smote(train, spec.id_col, spec.target, spec.features, ratio, seed=seed)
-    return _few_tasks(materialize(table.select(spec.id_col, spec.target, *spec.features), "train"))
-
-
-def _few_tasks(table: DataFrame) -> DataFrame:
-    """Merge the small partitions of a small table; a large one is left as it is."""
-    return table.coalesce(1 + table.count() // ROWS_PER_TASK)
+    return materialize(table.select(spec.id_col, spec.target, *spec.features), "train")
 
 
 def run_experiments(
@@ -96,7 +90,7 @@ def run_experiments(
     only=None,
     sample_n: int | None = None,
     use_cv: bool = False,
-    parallelism: int = 10,
+    parallelism: int = 12,
     seed: int = sampling.DEFAULT_SEED,
 ) -> Run:
     """Train all models in all experiments; each model is one concurrent chain of Spark jobs."""
@@ -105,13 +99,21 @@ def run_experiments(
     train, test = prepared.where(F.col("split") == "train"), prepared.where(F.col("split") == "test")
     n_neg, n_pos = prep.class_counts(train, spec.target)
     out_root = scratch_path(spark, "predictions")
-    work = []
-    for experiment in experiments:
-        exp_spec = spec if experiment.leakage else spec.without_leakage()
-        table = training_table(train, exp_spec, experiment.smote_ratio, seed)
-        for name, fit in registry().items():
-            if only is None or name in only:
-                work.append((experiment, exp_spec, table, name, fit))
+    specs = {e.name: spec if e.leakage else spec.without_leakage() for e in experiments}
+
+    def table_of(experiment: Experiment) -> DataFrame:
+        return training_table(train, specs[experiment.name], experiment.smote_ratio, seed)
+
+    with ThreadPoolExecutor(max(1, len(experiments))) as pool:
+        tables = list(pool.map(inheritable_thread_target(spark)(table_of), experiments))
+    work = [
+        (experiment, specs[experiment.name], table, name, fit)
+        for experiment, table in zip(experiments, tables)
+        for name, fit in registry().items()
+        if only is None or name in only
+    ]
+    # Boosting is a long chain of short jobs: those chains start first.
+    work.sort(key=lambda w: w[3] not in models.BOOSTED)
 
     def one(i: int):
         experiment, exp_spec, table, name, fit = work[i]

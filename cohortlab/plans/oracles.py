@@ -497,7 +497,7 @@ def risk_report_sql() -> str:
   SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS r FROM phis),
 lines AS (
   SELECT row_id, string_agg(feature || ' ' || CASE WHEN phi > 0 THEN 'Increases Risk' ELSE 'Reduces Risk' END
-           || ' (magnitude: ' || printf('%.4f', round(abs(phi), 4)) || ')', '; ' ORDER BY r) AS factors
+           || ' (magnitude: ' || printf('%.4f', CAST(round(CAST(abs(phi) AS DECIMAL(18,6)), 4) AS DOUBLE)) || ')', '; ' ORDER BY r) AS factors
   FROM tops WHERE r <= 5 GROUP BY row_id)""",
         body=f"""SELECT k.row_id,
        'total_cents=' || CAST(CAST(total_cents AS BIGINT) AS VARCHAR) || '; acctbal_cents=' || CAST(CAST(acctbal_cents AS BIGINT) AS VARCHAR)
