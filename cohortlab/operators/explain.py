@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.expressions import hash_key, hash_u32
-from cohortlab.session import scratch_path
+from cohortlab.session import scratch_path, spread
 
 DIGITS = 6
 TOP_FACTORS = 10
@@ -29,6 +29,7 @@ SIDE_FACTORS = 8
 BACKGROUND_ROWS = 50
 MAX_TREE_NODES = 2_000_000
 PATH_TILE = 2_000_000
+ROWS_PER_TASK = 500  # rows explained per task on a small table
 
 
 def _stack(df: DataFrame, ids, features, value: Callable[[str], Column], phi: Callable[[str], Column]) -> DataFrame:
@@ -212,7 +213,7 @@ def tree_attributions(df: DataFrame, id_col: str, features, model) -> tuple[Data
 
     base = df.select(F.col(id_col).cast("bigint").alias(id_col), *[F.col(f).cast("double").alias(f) for f in features])
     schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.DoubleType()) for c in phi_cols]])
-    wide = base.mapInPandas(explain, schema)
+    wide = spread(base, ROWS_PER_TASK).mapInPandas(explain, schema)
     return _stack(wide, [id_col], features, lambda f: F.col(f), lambda f: F.col(f"_phi_{f}")), tree_base(paths)
 
 
@@ -246,7 +247,7 @@ def permutation_attributions(
     )
     pool = F.array(*[F.array(*[F.lit(float(r[f])) for f in features]) for r in picked])
     own = F.array(*[F.col(f).cast("double") for f in features])
-    base = df.select(F.col(id_col).cast("bigint").alias(id_col), own.alias("_own"))
+    base = spread(df.select(F.col(id_col).cast("bigint").alias(id_col), own.alias("_own")), ROWS_PER_TASK)
 
     pair = F.floor(F.col("_round") / 2).cast("int")
     mark = F.concat_ws("|", F.col(id_col).cast("string"), pair.cast("string"))

@@ -20,6 +20,7 @@ from cohortlab.functions.expressions import (
     steps_passed,
 )
 from cohortlab.functions.ordering import hash_rank
+from cohortlab.session import materialize
 
 KEYS = ("experiment", "model")
 THRESHOLDS = tuple(i / 20 for i in range(1, 19))
@@ -277,7 +278,7 @@ def shuffled_label_check(predictions: DataFrame, seed=42) -> DataFrame:
     position, which is a permutation of the labels.
     """
     keys = list(KEYS)
-    base = predictions.select(*keys, "row_id", "y", "yhat")
+    base = materialize(predictions.select(*keys, "row_id", "y", "yhat"), "labels")
     left = hash_rank(base.drop("y"), "row_id", f"{seed}a", keys, "_pos").drop("row_id")
     right = hash_rank(base.drop("yhat"), "row_id", f"{seed}b", keys, "_pos").drop("row_id")
     paired = left.join(right, [*keys, "_pos"])

@@ -29,7 +29,7 @@ MAX_CELLS = 4096  # bounds the box table sent to the tasks
 MAX_CHUNK = 50_000  # points per block; larger cells are searched in several blocks
 MAX_QUERIES = 2_000  # queries per block
 CUT_SAMPLE = 100_000  # rows used to place the cuts; they affect balance only
-TILE = 4_000_000  # distances held at once
+TILE = 500_000  # distances held at once
 
 _Q, _P = "_qid", "_pid"
 
@@ -75,34 +75,33 @@ def _box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return total
 
 
-def _search_block(queries, points, q_ids, p_ids, k: int, exclude_self: bool):
-    """Indexes and squared distances of the k nearest points per query, ties by id.
+def _squared_distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """All squared distances; sums run over the columns from left to right, as in SQL."""
+    total = np.zeros((len(queries), len(points)))
+    for j in range(points.shape[1]):
+        diff = queries[:, j, None] - points[None, :, j]
+        np.multiply(diff, diff, out=diff)
+        total += diff
+    return total
 
-    ``points`` must be sorted by id.  Sums run over the columns from left to
-    right, as the same formula does in SQL.
-    """
-    step = max(1, TILE // max(1, len(points)))
-    for start in range(0, len(queries), step):
-        block = queries[start : start + step]
-        d2 = np.zeros((len(block), len(points)))
-        for j in range(points.shape[1]):
-            diff = block[:, j, None] - points[None, :, j]
-            d2 += diff * diff
-        if exclude_self:
-            d2[q_ids[start : start + step, None] == p_ids[None, :]] = np.inf
-        kth = None
-        if len(points) > k:
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        for i in range(len(block)):
-            row = d2[i]
-            near = np.arange(len(points)) if kth is None else np.flatnonzero(row <= kth[i])
-            near = near[np.isfinite(row[near])]
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            yield start + i, near, row[near]
+
+def _smallest(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column index and value of the k smallest entries per row, ties by column."""
+    k = min(k, d2.shape[1])
+    index = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(d2, index, axis=1)
+    limit = value.max(axis=1)
+    # Where more than k entries reach the limit, the partition picked among equals at random.
+    for i in np.flatnonzero((d2 <= limit[:, None]).sum(axis=1) > k):
+        near = np.flatnonzero(d2[i] <= limit[i])
+        index[i] = near[np.argsort(d2[i, near], kind="stable")[:k]]
+        value[i] = d2[i, index[i]]
+    order = np.lexsort((index, value), axis=1)
+    return np.take_along_axis(index, order, axis=1), np.take_along_axis(value, order, axis=1)
 
 
 def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude_self: bool) -> DataFrame:
-    """Search every visited block; one row per visit with up to k candidates.
+    """Search every visited block; one row per visit with up to k candidates within its ``_bound``.
 
     A block is (cell, chunk of its points, slice of its visiting queries), so a
     cell that attracts many queries is searched by several tasks.
@@ -123,13 +122,25 @@ def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude
         known = known.sort_values(_P, kind="stable")
         q, p = asked[features].to_numpy(float), known[features].to_numpy(float)
         q_ids, p_ids = asked[_Q].to_numpy(), known[_P].to_numpy()
+        bound = asked["_bound"].to_numpy(float)
         extra = known[carry].to_numpy(float)
         ids, dist, more = [], [], []
-        for _, near, d2 in _search_block(q, p, q_ids, p_ids, k, exclude_self):
-            ids.append(p_ids[near])
-            dist.append(d2)
-            more.append(extra[near].ravel())
+        step = max(1, TILE // max(1, len(p)))
+        for start in range(0, len(q) if len(p) else 0, step):
+            part = slice(start, start + step)
+            d2 = _squared_distances(q[part], p)
+            if exclude_self:
+                d2[q_ids[part, None] == p_ids[None, :]] = np.inf
+            index, value = _smallest(d2, k)
+            # Sorted, so the useful ones come first.
+            keep = (np.isfinite(value) & (value <= bound[part, None])).sum(axis=1)
+            near = p_ids[index]
+            ids += [near[i, :c] for i, c in enumerate(keep)]
+            dist += [value[i, :c] for i, c in enumerate(keep)]
+            more += [extra[index[i, :c]].ravel() for i, c in enumerate(keep)]
         out = asked[[_Q, *features, "_cell", "_chunk"]].copy()
+        if not len(p):
+            ids, dist, more = ([[]] * len(q) for _ in range(3))
         out["_ids"], out["_d2"], out["_more"] = ids, dist, more
         return out
 
@@ -143,8 +154,11 @@ def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude
             T.StructField("_more", T.ArrayType(T.DoubleType())),
         ]
     )
-    left = left.select(*key, _Q, *features)
-    right = right.select(*key, _P, *features, *carry)
+    # The work grows with pairs, not bytes, so the task count is given explicitly:
+    # adaptive execution would merge these small partitions into a few slow tasks.
+    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.select(*key, _Q, "_bound", *features).repartition(tasks, *key)
+    right = right.select(*key, _P, *features, *carry).repartition(tasks, *key)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
 
 
@@ -204,6 +218,7 @@ def _pruned_search(
         [T.StructField(_Q, T.LongType())]
         + [T.StructField(c, T.DoubleType()) for c in f_cols]
         + [T.StructField("_cell", T.IntegerType()), T.StructField("_chunk", T.IntegerType())]
+        + [T.StructField("_bound", T.DoubleType())]
     )
 
     def first_visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +230,7 @@ def _pruned_search(
                 [_box_distance(x[i : i + 1000], low, high).argmin(axis=1) for i in range(0, len(x), 1000)]
             )
             chunk = np.abs(pdf[_Q].to_numpy()) % box_chunks[home]
-            yield pdf.assign(_cell=box_cell[home].astype("int32"), _chunk=chunk.astype("int32"))
+            yield pdf.assign(_cell=box_cell[home].astype("int32"), _chunk=chunk.astype("int32"), _bound=np.inf)
 
     def later_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,7 +245,11 @@ def _pruned_search(
                 cell = box_cell[box]
                 new = (cell != part["_cell"].to_numpy()[row]) | (chunk != part["_chunk"].to_numpy()[row])
                 out = part[[_Q, *f_cols]].iloc[row[new]]
-                yield out.assign(_cell=cell[new].astype("int32"), _chunk=chunk[new].astype("int32"))
+                yield out.assign(
+                    _cell=cell[new].astype("int32"),
+                    _chunk=chunk[new].astype("int32"),
+                    _bound=bound[row[new]],
+                )
 
     first = materialize(asked.mapInPandas(first_visit, visit_schema), "visits")
     found = _scan(first, blocks, f_cols, c_cols, k, exclude_self)
@@ -277,7 +296,8 @@ def knn_join(
     if depth == 0 and n <= MAX_CHUNK:
         # One block holds all points: nothing to prune.
         here = {"_cell": F.lit(0), "_chunk": F.lit(0)}
-        found = _scan(asked.withColumns(here), kept.withColumns(here), f_cols, c_cols, k, exclude_self)
+        unbounded = asked.withColumns({**here, "_bound": F.lit(float("inf"))})
+        found = _scan(unbounded, kept.withColumns(here), f_cols, c_cols, k, exclude_self)
     else:
         found = _pruned_search(asked, kept, n, depth, f_cols, c_cols, k, exclude_self)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from cohortlab.operators import (
 )
 from cohortlab.plans import experiments as ex
 from cohortlab.plans import fixed_scores
-from cohortlab.session import materialize
+from cohortlab.session import materialize, ship_package
 from cohortlab.sources import cohorts
 from cohortlab.sources.cohorts import DOCUMENTS, ORDERS, VECTORS
 from cohortlab.sources.tables import RunCache, read_table
@@ -680,8 +681,19 @@ ROWS_ONLY = (
 )
 
 
+def _ready(query):
+    """The query, with the package made available to the Python workers first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf)
+
+    return run
+
+
 def all_queries() -> dict:
     named = {q.__name__: q for q in SQL_CHECKED}
     named.update({key: _trained(model) for key, model in TRAINED_MODELS.items()})
     named.update({q.__name__: q for q in ROWS_ONLY})
-    return named
+    return {name: _ready(query) for name, query in named.items()}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "cohortlab") -> SparkSession:
@@ -26,9 +29,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Has the effect of submitting the job with ``--py-files``.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cohortlab-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, below the cluster's shared checkpoint folder.
 
@@ -60,3 +81,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Give a small table the task count that suits costly work per row.
+
+    Partitions follow bytes by default, which leaves a small table in one task
+    however long its rows take, or an iterative job with more tasks than it can
+    use.  Tables that already fill the cluster's cores keep their partitions.
+    """
+    want = 1 + df.count() // rows_per_task
+    have = df.rdd.getNumPartitions()
+    if have > want:
+        return df.coalesce(want)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(want, cores)) if have < min(want, cores) else df
