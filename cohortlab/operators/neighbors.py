@@ -75,29 +75,35 @@ def _box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return total
 
 
-def _squared_distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """All squared distances; sums run over the columns from left to right, as in SQL."""
-    total = np.zeros((len(queries), len(points)))
-    for j in range(points.shape[1]):
-        diff = queries[:, j, None] - points[None, :, j]
-        np.multiply(diff, diff, out=diff)
-        total += diff
-    return total
-
-
-def _smallest(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column index and value of the k smallest entries per row, ties by column."""
-    k = min(k, d2.shape[1])
-    index = np.argpartition(d2, k - 1, axis=1)[:, :k]
-    value = np.take_along_axis(d2, index, axis=1)
-    limit = value.max(axis=1)
-    # Where more than k entries reach the limit, the partition picked among equals at random.
-    for i in np.flatnonzero((d2 <= limit[:, None]).sum(axis=1) > k):
-        near = np.flatnonzero(d2[i] <= limit[i])
-        index[i] = near[np.argsort(d2[i, near], kind="stable")[:k]]
-        value[i] = d2[i, index[i]]
-    order = np.lexsort((index, value), axis=1)
-    return np.take_along_axis(index, order, axis=1), np.take_along_axis(value, order, axis=1)
+def _nearest(
+    q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray, same: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, point row and squared distance of the k nearest points within each query's bound.
+
+    A matrix product gives all distances up to a known rounding error; only pairs
+    that may still count are then computed exactly, adding the columns from left
+    to right as SQL does.  Sorted by query, distance and point row.  ``same`` marks
+    pairs to leave out.
+    """
+    q_norm, p_norm = (q * q).sum(axis=1), (p * p).sum(axis=1)
+    rough = q_norm[:, None] + p_norm[None, :] - 2.0 * (q @ p.T)
+    error = 8 * (q.shape[1] + 2) * np.finfo(float).eps * (q_norm + p_norm.max())
+    if same is not None:
+        rough[same] = np.inf
+    limit = bound + error
+    if len(p) > k and np.isinf(bound).any():
+        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error)
+    row, col = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
+    value = np.zeros(len(row))
+    for j in range(q.shape[1]):
+        diff = q[row, j] - p[col, j]
+        value += diff * diff
+    near = value <= bound[row]
+    row, col, value = row[near], col[near], value[near]
+    order = np.lexsort((col, value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first], value[first]
 
 
 def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude_self: bool) -> DataFrame:
@@ -128,16 +134,12 @@ def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude
         step = max(1, TILE // max(1, len(p)))
         for start in range(0, len(q) if len(p) else 0, step):
             part = slice(start, start + step)
-            d2 = _squared_distances(q[part], p)
-            if exclude_self:
-                d2[q_ids[part, None] == p_ids[None, :]] = np.inf
-            index, value = _smallest(d2, k)
-            # Sorted, so the useful ones come first.
-            keep = (np.isfinite(value) & (value <= bound[part, None])).sum(axis=1)
-            near = p_ids[index]
-            ids += [near[i, :c] for i, c in enumerate(keep)]
-            dist += [value[i, :c] for i, c in enumerate(keep)]
-            more += [extra[index[i, :c]].ravel() for i, c in enumerate(keep)]
+            same = q_ids[part, None] == p_ids[None, :] if exclude_self else None
+            row, col, value = _nearest(q[part], p, k, bound[part], same)
+            ends = np.cumsum(np.bincount(row, minlength=len(q[part])))[:-1]
+            ids += np.split(p_ids[col], ends)
+            dist += np.split(value, ends)
+            more += [e.ravel() for e in np.split(extra[col], ends)]
         out = asked[[_Q, *features, "_cell", "_chunk"]].copy()
         if not len(p):
             ids, dist, more = ([[]] * len(q) for _ in range(3))
