@@ -15,9 +15,9 @@ def hash_key(id_col: str | Column, seed) -> Column:
     return F.md5(F.concat(prefix, F.lit("|"), value.cast("string")))
 
 
-def hash_bucket(key: Column) -> Column:
-    """First four hex digits of a hash key as a number, 0..65535."""
-    return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
+def hash_bucket(key: Column, digits: int = 4) -> Column:
+    """First hex digits of a hash key as a number; four of them give 0..65535."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
 def hash_u32(key: Column) -> Column:

@@ -22,14 +22,17 @@ def _before(keys, order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def hash_rank(df: DataFrame, id_col: str, seed, strata=(), rank_col: str = "rank") -> DataFrame:
+def hash_rank(
+    df: DataFrame, id_col: str, seed, strata=(), rank_col: str = "rank", digits: int = 4
+) -> DataFrame:
     """Add the 1-based position of each row in the hash order of its stratum.
 
     Equals ``row_number() over (partition by strata order by md5(seed|id), id)``,
-    but the sort runs inside 65,536 hash buckets per stratum.
+    but the sort runs inside 16^digits hash buckets per stratum: 65,536, or fewer
+    where the table is known to be small.
     """
     strata = list(strata)
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", hash_bucket(F.col("_h")))
+    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", hash_bucket(F.col("_h"), digits))
     counts = keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65,536 rows per stratum.
     offsets = counts.withColumn(

@@ -97,6 +97,24 @@ def best_model(board: DataFrame) -> DataFrame:
     return board.where(F.col("position") == 1).drop("position")
 
 
+def board_view(board: DataFrame, metrics=("balanced_accuracy", "macro_f1", "roc_auc"), top: int = 5) -> DataFrame:
+    """The first rows of every experiment with a few metrics."""
+    return board.where(F.col("position") <= top).select(*KEYS, "position", *metrics)
+
+
+def headline(board: DataFrame, experiment: str, n_rows: int, n_used: int) -> DataFrame:
+    """Best model of an experiment with its two main scores, and the data size before and after sampling."""
+    best = best_model(board).where(F.col("experiment") == experiment)
+    percent = F.format_string("%.2f%%", F.round(F.col("balanced_accuracy") * 100, 2))
+    return best.select(
+        "model",
+        percent.alias("balanced_accuracy"),
+        "roc_auc",
+        F.lit(n_rows).cast("bigint").alias("n_rows"),
+        F.lit(n_used).cast("bigint").alias("n_used"),
+    )
+
+
 def leakage_drop(board: DataFrame, full: str, reduced: str) -> DataFrame:
     """Best of one experiment against best of the other, metric by metric."""
     best = best_model(board)
@@ -279,8 +297,9 @@ def shuffled_label_check(predictions: DataFrame, seed=42) -> DataFrame:
     """
     keys = list(KEYS)
     base = materialize(predictions.select(*keys, "row_id", "y", "yhat"), "labels")
-    left = hash_rank(base.drop("y"), "row_id", f"{seed}a", keys, "_pos").drop("row_id")
-    right = hash_rank(base.drop("yhat"), "row_id", f"{seed}b", keys, "_pos").drop("row_id")
+    digits = 2 if base.count() < 10_000_000 else 4
+    left = hash_rank(base.drop("y"), "row_id", f"{seed}a", keys, "_pos", digits).drop("row_id")
+    right = hash_rank(base.drop("yhat"), "row_id", f"{seed}b", keys, "_pos", digits).drop("row_id")
     paired = left.join(right, [*keys, "_pos"])
     return score_counts(confusion_counts(paired), ["balanced_accuracy"]).select(
         *keys, F.col("balanced_accuracy").alias("shuffled_balanced_accuracy")

@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 from cohortlab.session import materialize
 
 CELL_ROWS = 1024  # points per cell aimed at
-MAX_CELLS = 4096  # bounds the box table sent to the tasks
+MAX_CELLS = 16_384  # bounds the box table sent to the tasks
 MAX_CHUNK = 50_000  # points per block; larger cells are searched in several blocks
 MAX_QUERIES = 2_000  # queries per block
-CUT_SAMPLE = 100_000  # rows used to place the cuts; they affect balance only
-TILE = 500_000  # distances held at once
+CUT_SAMPLE = 16 * MAX_CELLS  # rows used to place the cuts; they affect balance only
+TILE = 500_000  # distances held at once; rows per step follow from it
 
 _Q, _P = "_qid", "_pid"
 
@@ -106,7 +106,9 @@ def _nearest(
     return row[first], col[first], value[first]
 
 
-def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude_self: bool) -> DataFrame:
+def _scan(
+    visits: DataFrame, points: DataFrame, features, carry, k: int, exclude_self: bool, blocks: int
+) -> DataFrame:
     """Search every visited block; one row per visit with up to k candidates within its ``_bound``.
 
     A block is (cell, chunk of its points, slice of its visiting queries), so a
@@ -158,7 +160,8 @@ def _scan(visits: DataFrame, points: DataFrame, features, carry, k: int, exclude
     )
     # The work grows with pairs, not bytes, so the task count is given explicitly:
     # adaptive execution would merge these small partitions into a few slow tasks.
-    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ``blocks`` is how many there are at most.
+    tasks = min(blocks, int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = left.select(*key, _Q, "_bound", *features).repartition(tasks, *key)
     right = right.select(*key, _P, *features, *carry).repartition(tasks, *key)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
@@ -206,6 +209,7 @@ def _pruned_search(
     box_chunks = boxes["_chunks"].to_numpy()
     low = boxes[[f"lo{c}" for c in f_cols]].to_numpy(float)
     high = boxes[[f"hi{c}" for c in f_cols]].to_numpy(float)
+    rows = max(1, TILE // max(1, len(box_cell)))
     # The cells that needed splitting, as a table of one row per cell.
     chunk_table = placed.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / MAX_CHUNK).cast("int").alias("_chunks")
@@ -229,15 +233,15 @@ def _pruned_search(
                 continue
             x = pdf[f_cols].to_numpy(float)
             home = np.concatenate(
-                [_box_distance(x[i : i + 1000], low, high).argmin(axis=1) for i in range(0, len(x), 1000)]
+                [_box_distance(x[i : i + rows], low, high).argmin(axis=1) for i in range(0, len(x), rows)]
             )
             chunk = np.abs(pdf[_Q].to_numpy()) % box_chunks[home]
             yield pdf.assign(_cell=box_cell[home].astype("int32"), _chunk=chunk.astype("int32"), _bound=np.inf)
 
     def later_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 1000):
-                part = pdf.iloc[start : start + 1000]
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start : start + rows]
                 bound = np.array([d[-1] if len(d) == k else np.inf for d in part["_d2"]])
                 x = part[f_cols].to_numpy(float)
                 row, box = np.nonzero(_box_distance(x, low, high) <= bound[:, None])
@@ -253,13 +257,16 @@ def _pruned_search(
                     _bound=bound[row[new]],
                 )
 
-    first = materialize(asked.mapInPandas(first_visit, visit_schema), "visits")
-    found = _scan(first, blocks, f_cols, c_cols, k, exclude_self)
+    def scan(visits: DataFrame) -> DataFrame:
+        n_blocks = int(box_chunks.sum()) + visits.count() // MAX_QUERIES + 1
+        return _scan(visits, blocks, f_cols, c_cols, k, exclude_self, n_blocks)
+
+    found = scan(materialize(asked.mapInPandas(first_visit, visit_schema), "visits"))
     if len(box_cell) > 1 or box_chunks.max(initial=1) > 1:
         found = materialize(found, "near")
         later = found.select(_Q, *f_cols, "_cell", "_chunk", "_d2").mapInPandas(later_visits, visit_schema)
         later = materialize(later, "visits")
-        found = found.unionByName(_scan(later, blocks, f_cols, c_cols, k, exclude_self))
+        found = found.unionByName(scan(later))
     return found
 
 
@@ -299,7 +306,8 @@ def knn_join(
         # One block holds all points: nothing to prune.
         here = {"_cell": F.lit(0), "_chunk": F.lit(0)}
         unbounded = asked.withColumns({**here, "_bound": F.lit(float("inf"))})
-        found = _scan(unbounded, kept.withColumns(here), f_cols, c_cols, k, exclude_self)
+        cores = asked.sparkSession.sparkContext.defaultParallelism
+        found = _scan(unbounded, kept.withColumns(here), f_cols, c_cols, k, exclude_self, 2 * cores)
     else:
         found = _pruned_search(asked, kept, n, depth, f_cols, c_cols, k, exclude_self)
 
@@ -326,22 +334,32 @@ def knn_vote(queries: DataFrame, points: DataFrame, features, k: int, id_col: st
 
 
 def similar_subjects(
-    requests: DataFrame, population: DataFrame, features, id_col: str, target: str, n: int = 5, scaler=None
+    requests: DataFrame,
+    population: DataFrame,
+    features,
+    id_col: str,
+    target: str,
+    n: int = 5,
+    scaler=None,
+    show=(),
 ) -> DataFrame:
     """The n most similar known subjects of every request, with label and distance.
 
     Distances use the raw feature values; pass a ``Scaler`` to weigh all
-    features alike.
+    features alike.  ``show`` names population columns to list beside them.
     """
+    shown = {c: f"_show_{c}" for c in show}
+    population = population.withColumns({new: F.col(c) for c, new in shown.items()})
     if scaler is not None:
         requests, population = scaler.transform(requests), scaler.transform(population)
-    near = knn_join(requests, population, features, n, id_col, id_col, carry=[target])
+    near = knn_join(requests, population, features, n, id_col, id_col, carry=[target, *shown.values()])
     return near.select(
         id_col,
         "neighbor_rank",
         "neighbor_id",
         F.col(f"nn_{target}").cast("int").alias(f"neighbor_{target}"),
         F.round(F.sqrt("d2"), 2).alias("distance"),
+        *[F.col(f"nn_{new}").alias(f"neighbor_{c}") for c, new in shown.items()],
     )
 
 

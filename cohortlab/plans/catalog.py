@@ -39,6 +39,7 @@ AGE_LIKE = "qty"
 SHARED_WIDTH = 10.0
 REPORT_TIME = "2024-01-01 12:00:00"
 REPORT_FACTORS = 5
+SHOWN = ("n_lines", "qty", "total_cents")
 BOX_FEATURES = ("gross_cents", "max_line_cents", "qty", "disc_pts", "tax_pts")
 
 
@@ -251,6 +252,15 @@ def leaderboard(spark, sf):
     return _board(spark, sf)
 
 
+def board_view(spark, sf):
+    return metrics.board_view(_board(spark, sf))
+
+
+def headline(spark, sf):
+    n_rows = cohort(spark, sf).count()
+    return metrics.headline(_board(spark, sf), "no_leakage", n_rows, min(n_rows, sampling.DEFAULT_SAMPLE))
+
+
 def best_model(spark, sf):
     return metrics.best_model(_board(spark, sf))
 
@@ -445,14 +455,14 @@ def risk_percentile(spark, sf):
     return curves.percentile_of(asked, fixed_scores.score_risk(split_of(data, "test")), ID)
 
 
-def _similar(spark, sf):
+def _similar(spark, sf, show=()):
     data = prepared(spark, sf)
     asked = materialize(filled_requests(spark, sf, data), "requests")
-    return neighbors.similar_subjects(asked, split_of(data, "train"), LEAN.features, ID, TARGET)
+    return neighbors.similar_subjects(asked, split_of(data, "train"), LEAN.features, ID, TARGET, show=show)
 
 
 def similar_subjects(spark, sf):
-    return _similar(spark, sf)
+    return _similar(spark, sf, SHOWN)
 
 
 def similar_outcomes(spark, sf):
@@ -614,6 +624,8 @@ SQL_CHECKED = (
     smote_full_balance,
     confusion_counts,
     leaderboard,
+    board_view,
+    headline,
     best_model,
     leakage_drop,
     experiment_comparison,

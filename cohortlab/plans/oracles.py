@@ -661,6 +661,16 @@ FROM cohort JOIN lim l ON l.target = cohort.target GROUP BY l.target, 2, 3, lo,
         "confusion_counts": with_(SCORED, conf_cte("scored"), body="SELECT * FROM conf"),
         "leaderboard": with_(BOARD, body="SELECT * FROM ranked"),
         "best_model": with_(BOARD, body="SELECT * EXCLUDE (position) FROM ranked WHERE position = 1"),
+        "board_view": with_(
+            BOARD,
+            body="SELECT experiment, model, position, balanced_accuracy, macro_f1, roc_auc FROM ranked WHERE position <= 5",
+        ),
+        "headline": with_(
+            BOARD,
+            body="""SELECT model, printf('%.2f%%', round(balanced_accuracy*100, 2)) AS balanced_accuracy, roc_auc,
+       (SELECT count(*) FROM cohort) AS n_rows, least((SELECT count(*) FROM cohort), 5000) AS n_used
+FROM ranked WHERE position = 1 AND experiment = 'no_leakage'""",
+        ),
         "leakage_drop": with_(
             BOARD,
             "f AS (SELECT * FROM ranked WHERE position = 1 AND experiment = 'full')",
@@ -826,7 +836,9 @@ FROM risky JOIN cdf ON cdf.p = risky.p""",
             FILLED,
             "known AS (SELECT * FROM data WHERE split = 'train')",
             nearest_ctes("filled", "known", "row_id", LEAN, 5, "target", False),
-            body="SELECT qid AS row_id, neighbor_rank, neighbor_id, lab AS neighbor_target, round(sqrt(d2), 2) AS distance FROM near",
+            body="SELECT qid AS row_id, neighbor_rank, neighbor_id, lab AS neighbor_target, round(sqrt(d2), 2) AS distance, "
+            + ", ".join(f"{dbl('k.' + c)} AS neighbor_{c}" for c in catalog.SHOWN)
+            + " FROM near JOIN known k ON k.row_id = neighbor_id",
         ),
         "similar_outcomes": with_(
             FILLED,
