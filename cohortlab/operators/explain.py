@@ -29,6 +29,7 @@ SIDE_FACTORS = 8
 BACKGROUND_ROWS = 50
 MAX_TREE_NODES = 2_000_000
 PATH_TILE = 2_000_000
+MAX_TABLE_TESTS = 9
 ROWS_PER_TASK = 500  # rows explained per task on a small table
 
 
@@ -156,8 +157,8 @@ def leaf_paths(model) -> list[LeafPaths]:
     return out
 
 
-def _path_attributions(x: np.ndarray, paths: list[LeafPaths]) -> np.ndarray:
-    """Shapley values of the path-dependent tree expectation for every row of ``x``.
+def _gains(own: np.ndarray, share: np.ndarray, leaf_value: np.ndarray) -> np.ndarray:
+    """Shapley values of one leaf's tests, for test results ``own`` (..., leaves, tests).
 
     For one leaf the expectation over a feature subset is a product with one
     factor per feature: the row's own test result if the feature is known, the
@@ -165,26 +166,52 @@ def _path_attributions(x: np.ndarray, paths: list[LeafPaths]) -> np.ndarray:
     t in [0, 1] with each factor mixed as share*(1-t) + own*t; the integrand is a
     polynomial in t, so Gauss-Legendre nodes give it exactly.
     """
+    node, weight = np.polynomial.legendre.leggauss((share.shape[-1] + 1) // 2)
+    total = np.zeros(np.broadcast_shapes(own.shape, share.shape))
+    for t, w in zip((node + 1) / 2, weight / 2):
+        factor = share * (1 - t) + own * t
+        total += w * factor.prod(axis=-1, keepdims=True) / factor
+    return (own - share) * total * leaf_value[:, None]
+
+
+def _result_table(group: LeafPaths) -> np.ndarray | None:
+    """Gains of every leaf for all 2^m results of its m tests; None without tests or with too many."""
+    leaves, m = group.feature.shape
+    if m == 0 or m > MAX_TABLE_TESTS:
+        return None
+    results = (np.arange(2**m)[:, None] >> np.arange(m) & 1).astype(float)
+    gains = _gains(results[:, None, :], group.share, group.leaf_value)
+    return gains.transpose(1, 0, 2).reshape(leaves * 2**m, m)
+
+
+def _path_attributions(x: np.ndarray, paths: list[LeafPaths], tables=None) -> np.ndarray:
+    """Shapley values of the path-dependent tree expectation for every row of ``x``.
+
+    The gains of a leaf depend only on which of its tests a row passes, so they
+    are looked up by that result.
+    """
     n, d = x.shape
     phi = np.zeros((n, d))
-    for group in paths:
+    tables = tables or [_result_table(g) for g in paths]
+    for group, table in zip(paths, tables):
         leaves, m = group.feature.shape
         if m == 0:
             continue
-        node, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
-        node, weight = (node + 1) / 2, weight / 2
         target = np.zeros((leaves * m, d))
         target[np.arange(leaves * m), group.feature.ravel()] = 1.0
         step = max(1, PATH_TILE // (leaves * m))
         for start in range(0, n, step):
             block = x[start : start + step]
-            cell = block[:, group.feature]
-            own = ((cell > group.low) & (cell <= group.high)).astype(float)
-            total = np.zeros_like(own)
-            for t, w in zip(node, weight):
-                factor = group.share * (1 - t) + own * t
-                total += w * factor.prod(axis=2, keepdims=True) / factor
-            gain = (own - group.share) * total * group.leaf_value[None, :, None]
+            if table is None:
+                cell = block[:, group.feature]
+                own = ((cell > group.low) & (cell <= group.high)).astype(float)
+                gain = _gains(own, group.share, group.leaf_value)
+            else:
+                code = np.zeros((len(block), leaves), dtype=np.int64) + np.arange(leaves) * 2**m
+                for j in range(m):
+                    cell = block[:, group.feature[:, j]]
+                    code += ((cell > group.low[:, j]) & (cell <= group.high[:, j])).astype(np.int64) << j
+                gain = table[code]
             phi[start : start + step] += gain.reshape(len(block), -1) @ target
     return phi
 
@@ -205,8 +232,9 @@ def tree_attributions(df: DataFrame, id_col: str, features, model) -> tuple[Data
     phi_cols = [f"_phi_{f}" for f in features]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [_result_table(g) for g in paths]
         for pdf in batches:
-            phi = _path_attributions(pdf[features].to_numpy(float), paths)
+            phi = _path_attributions(pdf[features].to_numpy(float), paths, tables)
             out = pdf.copy()
             out[phi_cols] = phi
             yield out

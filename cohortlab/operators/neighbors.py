@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from cohortlab.session import materialize
 
+DIRECT_POINTS = 16_384  # up to here one block of all points is faster than cells
 CELL_ROWS = 1024  # points per cell aimed at
 MAX_CELLS = 16_384  # bounds the box table sent to the tasks
 MAX_CHUNK = 50_000  # points per block; larger cells are searched in several blocks
@@ -179,19 +180,20 @@ def _vectors(df: DataFrame, id_col: str, id_name: str, features, carry=()) -> Da
 
 
 def _pruned_search(
-    asked: DataFrame, kept: DataFrame, n: int, depth: int, f_cols, c_cols, k: int, exclude_self: bool
+    asked: DataFrame, kept: DataFrame, n: int, f_cols, c_cols, k: int, exclude_self: bool
 ) -> DataFrame:
     """Candidates of every query from the cells that its bound cannot rule out."""
-    share = min(1.0, CUT_SAMPLE / max(n, 1))
+    cells = min(MAX_CELLS, max(2, n // CELL_ROWS))
+    depth = int(np.ceil(np.log2(cells)))
+    share = min(1.0, CUT_SAMPLE / n)
     sample = kept.select(*f_cols)
     sample = sample if share == 1.0 else sample.sample(share, seed=7)
-    axis, value = _grow_cuts(sample.toPandas().to_numpy(float), depth) if depth else (None, None)
+    axis, value = _grow_cuts(sample.toPandas().to_numpy(float), depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[f_cols].to_numpy(float)
-            cell = _cell_of(x, axis, value, depth) if depth else np.zeros(len(x), dtype=np.int64)
-            yield pdf.assign(_cell=cell.astype("int32"))
+            yield pdf.assign(_cell=_cell_of(x, axis, value, depth).astype("int32"))
 
     placed_schema = T.StructType([*kept.schema.fields, T.StructField("_cell", T.IntegerType())])
     placed = materialize(kept.mapInPandas(place, placed_schema), "cells")
@@ -298,18 +300,15 @@ def knn_join(
     )
     kept = materialize(kept, "points")
     n = kept.count()
-    cells = min(MAX_CELLS, max(1, n // CELL_ROWS))
-    depth = int(np.ceil(np.log2(cells)))
-
     asked = _vectors(queries, query_id, _Q, features)
-    if depth == 0 and n <= MAX_CHUNK:
-        # One block holds all points: nothing to prune.
+    if n <= DIRECT_POINTS:
+        # One block holds all points.
         here = {"_cell": F.lit(0), "_chunk": F.lit(0)}
         unbounded = asked.withColumns({**here, "_bound": F.lit(float("inf"))})
         cores = asked.sparkSession.sparkContext.defaultParallelism
         found = _scan(unbounded, kept.withColumns(here), f_cols, c_cols, k, exclude_self, 2 * cores)
     else:
-        found = _pruned_search(asked, kept, n, depth, f_cols, c_cols, k, exclude_self)
+        found = _pruned_search(asked, kept, n, f_cols, c_cols, k, exclude_self)
 
     width = len(carry)
     pairs = found.select(_Q, F.posexplode("_ids").alias("_i", "neighbor_id"), "_d2", "_more")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.expressions import count_where, ratio
 
 SCALE_DIGITS = 6
+MAX_CATEGORIES = 100_000
 
 
 def encode_labels(df: DataFrame, columns, fit_on: DataFrame | None = None) -> DataFrame:
@@ -27,6 +28,9 @@ def encode_labels(df: DataFrame, columns, fit_on: DataFrame | None = None) -> Da
         inputCols=columns, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="error"
     )
     fitted = indexer.fit((df if fit_on is None else fit_on).select(*columns))
+    # The categories travel to every task.
+    if max(len(labels) for labels in fitted.labelsArray) > MAX_CATEGORIES:
+        raise ValueError(f"a column of {columns} has more than {MAX_CATEGORIES} categories")
     out = fitted.transform(df)
     codes = dict(zip(columns, indexed))
     return out.select(*[F.col(codes[c]).cast("int").alias(c) if c in codes else F.col(c) for c in df.columns])

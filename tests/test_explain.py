@@ -53,7 +53,9 @@ def test_boosted_attributions_add_up_to_the_margin(parts, ctx, monkeypatch):
     assert worst_gap(table, base, margin, "m")[0] < 1e-9
 
 
-def test_path_attributions_equal_the_shapley_definition():
+@pytest.mark.parametrize("table_limit", [9, 0])
+def test_path_attributions_equal_the_shapley_definition(monkeypatch, table_limit):
+    monkeypatch.setattr(explain, "MAX_TABLE_TESTS", table_limit)
     rng = np.random.default_rng(3)
     # Two leaves over three features with given shares; the values of all subsets define the game.
     group = explain.LeafPaths(
@@ -88,6 +90,13 @@ def test_path_attributions_equal_the_shapley_definition():
             assert phi[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_a_tree_without_splits_explains_nothing():
+    empty = np.zeros((1, 0))
+    leaf = explain.LeafPaths(empty.astype(int), empty, empty, empty, np.array([0.3]))
+    assert (explain._path_attributions(np.ones((4, 2)), [leaf]) == 0).all()
+    assert explain.tree_base([leaf]) == pytest.approx(0.3)
+
+
 def test_permutation_attributions_of_a_linear_score(parts):
     _, test = parts
     weights = {"n_lines": 0.5, "qty": 0.25}

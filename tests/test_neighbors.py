@@ -42,6 +42,7 @@ def frame(n, dims, seed, start=0, digits=1):
 
 @pytest.fixture
 def tiny_cells(monkeypatch):
+    monkeypatch.setattr(neighbors, "DIRECT_POINTS", 0)
     monkeypatch.setattr(neighbors, "CELL_ROWS", 16)
     monkeypatch.setattr(neighbors, "MAX_QUERIES", 10)
 
@@ -68,6 +69,11 @@ def test_exact_when_a_third_of_the_rows_are_copies(spark, tiny_cells):
     assert joined(spark, p, p, 4, True) == brute(p, p, 4, True)
 
 
+def test_exact_in_one_block(spark):
+    q, p = frame(60, 3, 1, start=10_000, digits=0), frame(400, 3, 2, digits=0)
+    assert joined(spark, q, p, 4) == brute(q, p, 4, False)
+
+
 def test_fewer_points_than_neighbours(spark):
     p = frame(3, 2, 6)
     assert joined(spark, p, p, 5, True) == brute(p, p, 5, True)
