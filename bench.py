@@ -53,12 +53,12 @@ HEADLINE = (
     "train_forest",
     "tree_shap",
 )
-REFERENCE_SAMPLE = 5000
+PUBLISHED_SAMPLE = 5000
 
 
 def full_run(spark, sf):
     """The whole experiment run on a 5,000-row sample: the only published figure to compare with."""
-    run = ex.run_experiments(catalog.cohort(spark, sf), ORDERS, sample_n=REFERENCE_SAMPLE)
+    run = ex.run_experiments(catalog.cohort(spark, sf), ORDERS, sample_n=PUBLISHED_SAMPLE)
     return run.leaderboard()
 
 
