@@ -575,7 +575,7 @@ def forest_importance(spark, sf):
 
 
 def tree_shap(spark, sf):
-    """Exact attributions of the boosted trees for the test rows."""
+    """Exact attributions of the random forest for the test rows."""
     data = prepared(spark, sf)
     ctx = context(data, LEAN)
     train = ex.training_table(split_of(data, "train"), LEAN, balance.PARTIAL_RATIO, ctx.seed)
