@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from cohortlab.session import materialize
 
-DIRECT_POINTS = 16_384  # up to here one block of all points is faster than cells
+DIRECT_POINTS = 16_384  # up to here all points form one block, which saves the jobs that build cells
 CELL_ROWS = 1024  # points per cell aimed at
 MAX_CELLS = 16_384  # bounds the box table sent to the tasks
 MAX_CHUNK = 50_000  # points per block; larger cells are searched in several blocks
