@@ -7,7 +7,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import cuckoo_dedup, near_dedup, oracles, packing, pii, quality, sharding
+from cohortlab.llm import (
+    cuckoo_dedup,
+    html_text,
+    licenses,
+    maxent_lm,
+    near_dedup,
+    oracles,
+    packing,
+    pieces,
+    pii,
+    quality,
+    sharding,
+)
 from cohortlab.llm.common import read
 from cohortlab.session import ship_package
 
@@ -16,6 +28,10 @@ def op1_exact_dedup(spark, sf):
     return cuckoo_dedup.exact_dedup(read(spark, sf, "documents"))
 
 
+def op2_license_scan(spark, sf):
+    return licenses.scan(read(spark, sf, "documents"))
+
+
 def op3_near_dedup(spark, sf):
     return near_dedup.near_dedup(read(spark, sf, "documents"))
 
@@ -37,13 +53,29 @@ def op7_packing(spark, sf):
     return packing.pack_documents(read(spark, sf, "documents"))
 
 
+def op8_pieces(spark, sf):
+    return pieces.checked(pieces.encode(read(spark, sf, "documents")))
+
+
+def op9_html_text(spark, sf):
+    return html_text.main_text(read(spark, sf, "pages"))
+
+
+def op10_lm_score(spark, sf):
+    return maxent_lm.score_documents(read(spark, sf, "documents"))
+
+
 QUERIES = (
     op1_exact_dedup,
+    op2_license_scan,
     op3_near_dedup,
     op4_sharding,
     op5_quality_rules,
     op6_pii,
     op7_packing,
+    op8_pieces,
+    op9_html_text,
+    op10_lm_score,
 )
 
 
