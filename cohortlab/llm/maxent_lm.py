@@ -44,7 +44,7 @@ STEP = 0.5
 PRIOR = 2.0
 TOKENS_PER_TASK = 4_000_000
 LEAST_TASKS = 8
-SLICE = 32_768  # tokens handled at once
+SLICE = 8_192  # tokens handled at once
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint64(0x73746172745F6F66)
@@ -150,7 +150,7 @@ class Model:
 
 
 def _sum_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # buckets fit; such keys are sorted by radix
     ordered = rows[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     out[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
@@ -161,9 +161,9 @@ def _gradient(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         seen = np.zeros((2, BUCKETS * WIDTH), dtype=np.float32)
         expected = np.zeros((2, BUCKETS, WIDTH), dtype=np.float32)
         any_rows = False
-        for batch in batches:
-            tokens, _, lengths = _tokens(batch["text"])
-            features = _features(tokens, lengths) if len(tokens) else []
+        for text in (batch["text"].slice(at, 2_000) for batch in batches for at in range(0, batch.num_rows, 2_000)):
+            tokens, _, lengths = _tokens(text)
+            features = _features(tokens, lengths)
             any_rows |= len(tokens) > 0
             for at in range(0, len(tokens), SLICE):
                 part = slice(at, at + SLICE)
@@ -212,17 +212,12 @@ def train(rows: DataFrame, classes: Classes, n_tokens: int) -> Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        tokens, _, _ = _tokens(batch["text"])
-        w, n = np.unique(tokens, return_counts=True)
-        words, back = np.unique(np.concatenate([words, w]), return_inverse=True)
-        times = np.bincount(back, weights=np.concatenate([times, n]), minlength=len(words)).astype(np.int64)
-        if len(words) > 2_000_000:
-            yield _counts(words, times)
-            words, times = words[:0], times[:0]
-    if len(words):
-        yield _counts(words, times)
+        for at in range(0, batch.num_rows, 2_000):
+            tokens, _, _ = _tokens(batch["text"].slice(at, 2_000))
+            tokens.sort()
+            first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+            yield _counts(tokens[first], np.diff(np.r_[first, len(tokens)]))
 
 
 def _counts(words: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
