@@ -127,7 +127,7 @@ class Page:
         up = self._open[-1][0]
         if name in BLOCKS or name in SKIPPED or classes:
             label = name + "".join(f".{c}" for c in sorted(_DIGITS.sub("#", classes.lower()).split()))
-            self.path.append(f"{self.path[up]}>{label}")
+            self.path.append(self.path[up] if name == "html" else f"{self.path[up]}>{label}")  # a tag often left out
             self.parent.append(up)
             self.left_out.append(
                 self.left_out[up]

@@ -1,7 +1,7 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction, with DataFrame functions only.
 
-Fixed forms (emails, IP addresses, card numbers, phone numbers) are the seeds.  Around every
-identifier-like token (one with digits or an @) the words before and after it make lexical
+Fixed forms (emails, IP addresses, card numbers, phone numbers) are the seeds.  Around every seed
+and every identifier-like token (one with digits or an @) the words before and after it make lexical
 patterns.  Tokens and patterns form a bipartite graph, and scores pass over it a fixed number of
 times: a pattern is as good as the mean score of the distinct tokens it meets, smoothed by one
 bad token; a token that is no seed is as good as a noisy-or of its patterns.  Tokens that a
@@ -65,17 +65,29 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _matches(text: Column, form: str) -> Column:
-    """(hit, start, stop) of the non-overlapping matches, from the lengths of the parts between them."""
+    """(hit, start, stop, before, after) of the non-overlapping matches, from the parts between them."""
     parts, hits = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), 0)
-    none = F.array().cast("array<struct<hit:string,start:int,stop:int>>")
+    none = F.array().cast("array<struct<hit:string,start:int,stop:int,before:string,after:string>>")
+    sides = F.transform(
+        parts,
+        lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(CONTEXT)).alias("end"), F.left(p, F.lit(CONTEXT)).alias("begin")),
+    )
     pairs = F.zip_with(
-        F.slice(parts, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("part"), h.alias("hit"))
+        F.transform(
+            F.slice(sides, F.lit(1), F.size(hits)), lambda p: F.struct(p["n"].alias("n"), p["end"].alias("before"))
+        ),
+        F.zip_with(
+            hits, F.slice(sides, F.lit(2), F.size(hits)), lambda h, p: F.struct(h.alias("hit"), p["begin"].alias("after"))
+        ),
+        lambda p, h: F.struct(p["n"].alias("n"), p["before"].alias("before"), h["hit"].alias("hit"), h["after"].alias("after")),
     )
 
     def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["part"])
+        begin = a["at"] + x["n"]
         stop = begin + F.length(x["hit"])
-        found = F.struct(x["hit"].alias("hit"), begin.alias("start"), stop.alias("stop"))
+        found = F.struct(
+            x["hit"].alias("hit"), begin.alias("start"), stop.alias("stop"), x["before"].alias("before"), x["after"].alias("after")
+        )
         return F.struct(stop.alias("at"), F.array_append(a["out"], found).alias("out"))
 
     def some(a: Column, block: Column) -> Column:
@@ -119,29 +131,40 @@ def _spans_of(kind: str, text: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with their contexts and the kind of the seed that covers them."""
+    """Seeds, and identifier-like tokens outside them, with the patterns around them."""
 
     def words(side: Column) -> Column:
         return F.regexp_extract_all(F.lower(side), F.lit(r"\p{L}++"), 0)
 
-    def described(m: Column) -> Column:
-        before = words(F.substring(text, F.greatest(F.lit(1), m["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), m["start"])))
-        after = words(F.substring(text, m["stop"] + 1, F.lit(CONTEXT)))
-        near = [F.coalesce(F.try_element_at(w, F.lit(i)), F.lit("")) for w, i in ((before, -2), (before, -1), (after, 1))]
-        covering = F.filter(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+    def patterns_of(sides: Column) -> Column:
+        left = [F.coalesce(F.try_element_at(sides["before"], F.lit(i)), F.lit("")) for i in (-2, -1)]
+        right = F.coalesce(F.try_element_at(sides["after"], F.lit(1)), F.lit(""))
+        return F.array(F.concat_ws(" ", left[0], left[1]), F.concat_ws(" ", left[1], F.lit("_"), right))
+
+    def described(m: Column, seed: Column) -> Column:
+        sides = F.array(F.struct(words(m["before"]).alias("before"), words(m["after"]).alias("after")))
         return F.struct(
             m["hit"].alias("token"),
             m["start"].alias("start"),
             m["stop"].alias("stop"),
-            F.array(F.concat_ws(" ", near[0], near[1]), F.concat_ws(" ", near[1], F.lit("_"), near[2])).alias("patterns"),
-            F.get(covering["kind"], F.lit(0)).alias("seed"),
+            F.get(F.transform(sides, patterns_of), F.lit(0)).alias("patterns"),
+            seed.alias("seed"),
         )
 
+    def free(m: Column) -> Column:
+        return ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+
+    def seeds(kind: str) -> Column:
+        known = F.filter(_matches(text, FORMS[kind]), lambda m: _valid(kind, m["hit"]))
+        return F.when(_GATES[kind](text), F.transform(known, lambda m: described(m, F.lit(kind)))).otherwise(none)
+
+    none = F.array().cast("array<struct<token:string,start:int,stop:int,patterns:array<string>,seed:string>>")
     tokens = F.filter(
         _matches(text, CANDIDATE),
-        lambda m: m["hit"].rlike("[0-9@]") & (F.length(m["hit"]) >= 4) & m["hit"].rlike("[0-9].*[0-9].*[0-9]|@"),
+        lambda m: (F.length(m["hit"]) >= 4) & m["hit"].rlike("[0-9].*[0-9].*[0-9]|@") & free(m),
     )
-    return F.transform(tokens, described)
+    unknown = F.transform(tokens, lambda m: described(m, F.lit(None).cast("string")))
+    return F.concat(unknown, *(seeds(kind) for kind in KINDS))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
