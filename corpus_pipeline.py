@@ -19,7 +19,8 @@ from cohortlab.session import ship_package
 
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with failing lines taken out."""
-    judged = quality.clean(docs).where("kept")
+    # written before the filter, which the optimizer would repeat inside the loops over the lines
+    judged = materialize(quality.clean(docs), "cleaned").where("kept")
     columns = [F.col("clean_text").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns]
     return judged.select(*_counted(docs, columns, F.col("clean_text")))
 
