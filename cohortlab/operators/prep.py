@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.expressions import count_where, ratio
 
-SCALE_DIGITS = 6
 MAX_CATEGORIES = 100_000
 
 
@@ -45,18 +44,26 @@ class Scaler:
 
     @staticmethod
     def fit(df: DataFrame, columns) -> Scaler:
-        """Fit in one pass; a column without variance gets a divisor of 1."""
+        """Fit in one pass; a column whose values are all equal gets a divisor of 1."""
         aggs = []
         for c in columns:
             value = F.col(c).cast("double")
-            aggs.append(F.round(F.avg(value), SCALE_DIGITS).alias(f"m_{c}"))
-            aggs.append(F.round(F.stddev_pop(value), SCALE_DIGITS).alias(f"s_{c}"))
+            aggs.append(F.avg(value).alias(f"m_{c}"))
+            varies = F.min(value) < F.max(value)
+            aggs.append(F.when(varies, F.stddev_pop(value)).otherwise(0.0).alias(f"s_{c}"))
         row = df.agg(*aggs).first()
         return Scaler(
             {c: row[f"m_{c}"] for c in columns},
             {c: row[f"s_{c}"] or 1.0 for c in columns},
         )
 
+    def rounded(self, digits: int) -> Scaler:
+        """The same scaler with short numbers, for results that two engines must order alike."""
+        return Scaler(
+            {c: round(m, digits) for c, m in self.means.items()},
+            {c: round(s, digits) or 1.0 for c, s in self.stds.items()},
+        )
+
     def scaled(self, column: str) -> Column:
         value = F.col(column).cast("double") - F.lit(self.means[column])
         return value / F.lit(self.stds[column])

@@ -257,8 +257,9 @@ def board_view(spark, sf):
 
 
 def headline(spark, sf):
-    n_rows = cohort(spark, sf).count()
-    return metrics.headline(_board(spark, sf), "no_leakage", n_rows, min(n_rows, sampling.DEFAULT_SAMPLE))
+    counts = metrics.confusion_counts(scored(spark, sf))
+    n_used = counts.agg(F.max(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).first()[0]
+    return metrics.headline(_board(spark, sf), "no_leakage", cohort(spark, sf).count(), n_used)
 
 
 def best_model(spark, sf):
@@ -359,7 +360,7 @@ def shuffled_sanity(spark, sf):
 
 def knn_vote(spark, sf):
     data = prepared(spark, sf)
-    scaler = prep.Scaler.fit(split_of(data, "train"), LEAN.features)
+    scaler = prep.Scaler.fit(split_of(data, "train"), LEAN.features).rounded(6)
     train, test = (scaler.transform(split_of(data, s)) for s in ("train", "test"))
     return neighbors.knn_vote(test, train, LEAN.features, models.KNN_K, ID, TARGET)
 

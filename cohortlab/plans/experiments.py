@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlab.functions.ordering import hash_rank
 from cohortlab.operators import balance, curves, metrics, models, prep, sampling
 from cohortlab.session import materialize, scratch_path
 from cohortlab.spec import CohortSpec
@@ -51,24 +53,42 @@ class Run:
     trained: dict = field(default_factory=dict)
     cv: DataFrame | None = None
 
+    def subject_predictions(self) -> DataFrame:
+        """The predictions with the cohort's own ids as ``subject``, whatever their type."""
+        given = given_id(self.spec)
+        own = given if given in self.prepared.columns else self.spec.id_col
+        ids = self.prepared.select(F.col(self.spec.id_col).alias("row_id"), F.col(own).alias("subject"))
+        return self.predictions.join(ids, "row_id")
+
     def leaderboard(self, rank_by: str = "balanced_accuracy") -> DataFrame:
         auc = curves.roc_auc(curves.score_counts_by_value(self.predictions), metrics.DIGITS)
         return metrics.leaderboard(self.predictions, auc, rank_by)
 
 
+def given_id(spec: CohortSpec) -> str:
+    """Column of a prepared cohort with the ids as given, where they are no whole numbers."""
+    return f"{spec.id_col}_given"
+
+
 def prepare(
     cohort: DataFrame, spec: CohortSpec, sample_n: int | None = None, seed: int = sampling.DEFAULT_SEED
 ) -> DataFrame:
     """Encoded cohort with a ``split`` column, written once for all later jobs.
 
-    The sample is optional: without ``sample_n`` the run uses every row.
+    The sample is optional: without ``sample_n`` the run uses every row.  Ids that are
+    no whole numbers give way to their rank in hash order and stay in ``given_id``.
     """
     base = cohort.drop(*spec.drop)
     if sample_n is not None:
         base = sampling.stratified_sample(base, spec, sample_n, seed)
     base = materialize(base, "cohort")
     encoded = prep.encode_labels(base, spec.categorical)
-    return materialize(sampling.stratified_split(encoded, spec, seed=seed), "prepared")
+    split = sampling.stratified_split(encoded, spec, seed=seed)
+    if not isinstance(cohort.schema[spec.id_col].dataType, T.IntegralType):
+        ranked = hash_rank(split, spec.id_col, seed, rank_col="_number")
+        named = ranked.withColumnRenamed(spec.id_col, given_id(spec))
+        split = named.withColumnRenamed("_number", spec.id_col)
+    return materialize(split, "prepared")
 
 
 def training_table(train: DataFrame, spec: CohortSpec, ratio: float | None, seed: int) -> DataFrame:
@@ -101,8 +121,11 @@ def run_experiments(
     out_root = scratch_path(spark, "predictions")
     specs = {e.name: spec if e.leakage else spec.without_leakage() for e in experiments}
 
-    def table_of(experiment: Experiment) -> DataFrame:
-        return training_table(train, specs[experiment.name], experiment.smote_ratio, seed)
+    def table_of(experiment: Experiment) -> DataFrame | Exception:
+        try:
+            return training_table(train, specs[experiment.name], experiment.smote_ratio, seed)
+        except Exception as e:  # noqa: BLE001 - recorded for each model of this experiment only
+            return e
 
     with ThreadPoolExecutor(max(1, len(experiments))) as pool:
         tables = list(pool.map(inheritable_thread_target(spark)(table_of), experiments))
@@ -119,17 +142,20 @@ def run_experiments(
         experiment, exp_spec, table, name, fit = work[i]
         ctx = models.Context(spec.id_col, spec.target, list(exp_spec.features), seed, n_neg, n_pos)
 
-        def fit_and_score(data: DataFrame, ctx: models.Context) -> models.Fitted:
+        folds = []
+
+        def fit_and_score(data: DataFrame | Exception, ctx: models.Context) -> models.Fitted:
+            if isinstance(data, Exception):
+                raise data
             fitted = fit(data, ctx)
             rows = models.predictions_of(fitted, test, ctx, experiment.name, name)
             rows.write.mode("overwrite").parquet(f"{out_root}/part={i}")
+            if use_cv:
+                folds.append(cross_validate(train, exp_spec, name, fit, experiment, seed=seed))
             return fitted
 
         result = models.train_safely(name, fit_and_score, table, ctx)
-        folds = None
-        if use_cv and result.error is None:
-            folds = cross_validate(train, exp_spec, name, fit, experiment, seed=seed)
-        return experiment.name, result, folds
+        return experiment.name, result, folds[0] if folds else None
 
     with ThreadPoolExecutor(parallelism) as pool:
         done = list(pool.map(inheritable_thread_target(spark)(one), range(len(work))))

@@ -263,10 +263,15 @@ near AS (
   FROM unrolled)"""
 
 
-SCALER = "scaler AS (SELECT " + ", ".join(
-    f"round(avg({dbl(c)}), 6) AS m_{c}, round(stddev_pop({dbl(c)}), 6) AS s_{c}" for c in LEAN
+EXACT_SCALER = "exact_scaler AS (SELECT " + ", ".join(
+    f"avg({dbl(c)}) AS m_{c}, CASE WHEN min({c}) < max({c}) THEN stddev_pop({dbl(c)}) ELSE 0e0 END AS s_{c}" for c in LEAN
 ) + " FROM data WHERE split = 'train')"
 
+# for distances, whose ties both engines must see alike
+SCALER = f"{EXACT_SCALER},\nscaler AS (SELECT " + ", ".join(
+    f"round(m_{c}, 6) AS m_{c}, round(s_{c}, 6) AS s_{c}" for c in LEAN
+) + " FROM exact_scaler)"
+
 
 def scaled(c: str) -> str:
     return f"({dbl(c)} - m_{c})/(CASE WHEN s_{c} = 0 THEN 1e0 ELSE s_{c} END)"
@@ -396,7 +401,7 @@ def bayes_sql() -> str:
         aggs.append(f"count(*) FILTER (WHERE target={c})::DOUBLE AS n{c}")
         parts = [f"ln(n{c}/(n0+n1))"]
         for f in LEAN:
-            aggs.append(f"round(avg({dbl(f)}) FILTER (WHERE target={c}), 6) AS m{c}_{f}")
+            aggs.append(f"avg({dbl(f)}) FILTER (WHERE target={c}) AS m{c}_{f}")
             aggs.append(f"var_pop({dbl(f)}) FILTER (WHERE target={c}) AS v{c}_{f}")
             v = f"(v{c}_{f} + {floor})"
             parts.append(
@@ -638,10 +643,10 @@ FROM cohort JOIN lim l ON l.target = cohort.target GROUP BY l.target, 2, 3, lo,
         "label_encode": with_(ENCODED, body="SELECT row_id, o_orderpriority FROM encoded"),
         "standard_scale": with_(
             SPLIT,
-            SCALER,
+            EXACT_SCALER,
             body="SELECT row_id, split, "
             + ", ".join(f"round({scaled(c)}, 6) AS z_{c}" for c in LEAN)
-            + " FROM data, scaler",
+            + " FROM data, exact_scaler",
         ),
         "class_weights": with_(
             COHORT,
@@ -668,7 +673,7 @@ FROM cohort JOIN lim l ON l.target = cohort.target GROUP BY l.target, 2, 3, lo,
         "headline": with_(
             BOARD,
             body="""SELECT model, printf('%.2f%%', round(balanced_accuracy*100, 2)) AS balanced_accuracy, roc_auc,
-       (SELECT count(*) FROM cohort) AS n_rows, least((SELECT count(*) FROM cohort), 5000) AS n_used
+       (SELECT count(*) FROM cohort) AS n_rows, (SELECT max(tp + fp + tn + fn) FROM conf) AS n_used
 FROM ranked WHERE position = 1 AND experiment = 'no_leakage'""",
         ),
         "leakage_drop": with_(

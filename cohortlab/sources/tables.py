@@ -18,8 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
     """CSV scan with a declared schema and a header row.
 
-    Columns are matched by name: a file may hold more columns than the schema
-    or another order, but a declared column that is absent raises an error.
+    Columns are matched by name: the files may hold more columns than the schema
+    or another order, but a declared column that is absent raises an error, and so
+    does a file whose header differs from that of the others.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = [f.name for f in schema.fields if f.name not in header]
@@ -27,7 +28,8 @@ def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType, mode:
         raise ValueError(f"columns missing from {path}: {missing}")
     declared = {f.name: f.dataType for f in schema.fields}
     file_schema = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
-    df = spark.read.schema(file_schema).option("header", True).option("mode", mode).csv(path)
+    reader = spark.read.schema(file_schema).option("header", True).option("mode", mode)
+    df = reader.option("enforceSchema", False).csv(path)  # every file's header is checked
     return df.select(*[f.name for f in schema.fields])
 
 

@@ -79,6 +79,12 @@ def test_constant_column_scales_by_one(spark):
     assert [r["x"] for r in scaler.transform(df).collect()] == [0.0, 0.0]
 
 
+def test_small_values_are_scaled(spark):
+    df = spark.createDataFrame([(1, 1e-8), (2, 3e-8)], "id int, x double")
+    scaled = prep.Scaler.fit(df, ["x"]).transform(df).orderBy("id").collect()
+    assert [round(r["x"], 9) for r in scaled] == [-1.0, 1.0]
+
+
 def test_unseen_category_raises(spark):
     known = spark.createDataFrame([("a",), ("b",)], "c string")
     new = spark.createDataFrame([("z",)], "c string")

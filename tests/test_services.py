@@ -69,6 +69,14 @@ def test_csv_round_trip_by_name(spark, tmp_path):
         tables.read_cohort_csv(spark, str(tmp_path / "c"), schema.add("GFR", "double"))
 
 
+def test_csv_files_with_other_column_order_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Age,BMI\n40,22.5\n")
+    (tmp_path / "b.csv").write_text("BMI,Age\n30.0,55\n")
+    schema = type(PATIENT_SCHEMA)([f for f in PATIENT_SCHEMA.fields if f.name in ("Age", "BMI")])
+    with pytest.raises(Exception, match="header"):
+        tables.read_cohort_csv(spark, str(tmp_path), schema).collect()
+
+
 def test_csv_with_bad_number_fails(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("Age\nforty\n")
     schema = type(PATIENT_SCHEMA)([f for f in PATIENT_SCHEMA.fields if f.name == "Age"])
