@@ -53,12 +53,18 @@ FURNITURE = re.compile(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+# an attribute is a name and perhaps a value; a value without quotes ends at white space or the tag's end
+_WHITE = r"[ \t\n\f\r]"
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_GIVEN = rf"{_WHITE}*+={_WHITE}*+"
+_BARE = r"""(?!["'])[^ \t\n\f\r>]++"""
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:{_GIVEN}(?:"([^"]*+)"|'([^']*+)'|({_BARE}))?+)?+""")
+_ATTRIBUTES = rf"""(?:[ \t\n\f\r/]++|{_NAME}(?:{_GIVEN}(?:"[^"]*+"|'[^']*+'|{_BARE})?+)?+)*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)({_ATTRIBUTES})(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|role|hidden|id)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
@@ -85,7 +91,7 @@ class Page:
                 break
             self._add(html[at : found.start()])
             at = found.end()
-            closing, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+            closing, name, attributes = found.group(1, 2, 3)
             if not name:
                 continue
             name = name.lower()
@@ -122,7 +128,9 @@ class Page:
                 self._close_open_paragraph()
         if name in VOID:
             return
-        given = {k.lower(): (a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        given: dict[str, str] = {}
+        for key, double, single, bare in _ATTRIBUTE.findall(attributes):
+            given.setdefault(key.lower(), double or single or bare)  # the first of a name counts
         classes = given.get("class", "")
         up = self._open[-1][0]
         if name in BLOCKS or name in SKIPPED or classes:

@@ -29,3 +29,23 @@ def test_article_text_and_consensus_of_the_host(spark):
 def test_broken_markup_ends():
     for html in ("<" * 5_000, '<a "' * 2_000, "<div>" * 3_000 + "x", "<!-- never closed", "<script>never closed", "</p></div>a"):
         html_text.Page(html).best()
+
+
+def test_attributes_are_read_by_whole_names():
+    for tag in (
+        '<div style="overflow:hidden">',
+        '<div aria-hidden="false">',
+        '<div title="The hidden valley">',
+        "<div data-role=navigation data-class='ad'>",
+        "<div title='class=ad role=menu'>",
+        "<div title=it's class=post>",
+        '<div title=a"b class = "post">',
+        '<div class=post class=ad>',
+        "<div/title=it's>",
+    ):
+        page = html_text.Page(f"<body>{tag}<p>It's the article's text.</p></div><p title='x'>End</body>")
+        assert [text for _, text, _ in page.blocks] == ["It's the article's text.", "End"], tag
+    for tag in ("<div hidden>", "<div class=a HIDDEN=''>", "<div\nROLE = 'navigation'>", '<div title="a > b" class="x ad">', "<div id=sidebar>"):
+        page = html_text.Page(f"<body>{tag}<p>furniture</p></div><p>text</body>")
+        assert [text for _, text, _ in page.blocks] == ["text"], tag
+    assert html_text.Page("<p title=\"never closed>text").blocks[0][1] == "text"
