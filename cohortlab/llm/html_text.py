@@ -1,22 +1,30 @@
 """Main text of web pages by consensus host paths.
 
-Each page scores its containers by the text they hold outside links, and names its best one by
-its generalised path: tags with their classes, digits taken out.  Spark sums the scores by host and
-path, the strongest path wins its host, and every page of the host is extracted again from the
-containers on that path.  A page without text there is extracted from its own best container.
+Each page scores all its containers by the text they hold outside links, less what they hold in
+links and furniture, so an article cut into nested parts is found as a whole and a wrapper of the
+page is not.  The best container is widened to the article it is part of: the article element
+around it, or the nearest container that adds a heading or a paragraph of its own.
+
+The page names the result by its generalised path: tags with their classes, digits taken out.
+Spark sums the text by host and path, and by host, layout (the set of a page's container paths) and
+path.  A layout of LAYOUT_PAGES pages or more follows its own strongest path, other pages that of
+their host, and pages without a host their own.  Every page is extracted again from the containers
+on its path; a page without text there is extracted from its own best container.
 
 Inside the winning container everything that is no article text is left out: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, told by tag, role or class.
 
 Votes are summed by partial aggregation, so a host with a third of all pages is no hot key; the
-winners (one row a host) are broadcast only below a checked number of rows.
+winners (one row a host, and one a layout that differs from its host) are broadcast only below a
+checked number of rows.
 
-Defined cases: null or empty html has empty text; pages without a host share the empty host; repeated
+Defined cases: null or empty html has empty text; pages without a host vote alone; repeated
 pages are extracted alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import re
 from collections.abc import Iterator
@@ -24,12 +32,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlab.llm.common import materialize
 
 BROADCAST_ROWS = 1_000_000
 LEAST_CHARS = 25  # shorter blocks count less for a container
 SHORT_SHARE = 0.1
+NOISE_COST = 2  # of a character in links or furniture, against one of text
+LAYOUT_PAGES = 3  # fewer pages of a layout follow their host
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +55,7 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("body main article section div td".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = CLOSED_BY_BLOCK - {"p"}
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal"
     r"|overlay|comments?|replies|respond|disqus|side-?bar|menu|nav|navigation|navbar|breadcrumbs?|pagination|pager"
@@ -76,6 +88,8 @@ class Page:
         self.parent = [-1]
         self.left_out = [False]
         self.is_container = [False]
+        self.tag = [""]
+        self.furniture = [0]  # characters left out in each element
         self.blocks: list[tuple[int, str, int]] = []
         self._open = [(0, "")]
         self._text: list[str] = []
@@ -108,10 +122,15 @@ class Page:
         self._flush()
 
     def _add(self, text: str) -> None:
-        if text and not self.left_out[self._open[-1][0]]:
-            self._text.append(text)
-            if self._in_link:
-                self._linked += len(text.strip())
+        if not text:
+            return
+        element = self._open[-1][0]
+        if self.left_out[element]:
+            self.furniture[element] += len(text.strip())
+            return
+        self._text.append(text)
+        if self._in_link:
+            self._linked += len(text.strip())
 
     def _flush(self) -> None:
         if self._text:
@@ -146,6 +165,8 @@ class Page:
                 or bool(name in CONTAINERS and name not in ("body", "main") and FURNITURE.search(given.get("id", "")))
             )
             self.is_container.append(name in CONTAINERS)
+            self.tag.append(name)
+            self.furniture.append(0)
             up = len(self.path) - 1
         self._open.append((up, name))
         self._in_link += name == "a"
@@ -173,23 +194,48 @@ class Page:
         del self._open[k:]
 
     def best(self) -> tuple[str, float]:
-        """Path and score of the container with the most text outside links."""
-        scores: dict[int, float] = {}
-        for element, text, linked in self.blocks:
-            gain = len(text) - 2 * linked
-            if gain <= 0:
-                continue
-            share = 1.0 if len(text) >= LEAST_CHARS else SHORT_SHARE
-            least = share / 4
-            while element > 0 and share > least:
-                if self.is_container[element]:
-                    scores[element] = scores.get(element, 0.0) + share * gain
-                    share /= 2
-                element = self.parent[element]
-        if not scores:
+        """Path of the container that holds the article, and the text outside links in it."""
+        n = len(self.path)
+        text, score = [0.0] * n, [-float(NOISE_COST * f) for f in self.furniture]
+        adds = [False] * n  # a heading or a paragraph of its own
+        for element, block, linked in self.blocks:
+            plain = len(block) - linked
+            gain = (plain - linked) * (1.0 if len(block) >= LEAST_CHARS else SHORT_SHARE)
+            score[element] += plain - NOISE_COST * linked if gain <= 0 else gain
+            if gain > 0:
+                text[element] += gain
+                adds[self._container(element)] |= len(block) >= LEAST_CHARS or self.tag[element] in HEADINGS
+        for e in range(n - 1, 0, -1):
+            text[self.parent[e]] += text[e]
+            score[self.parent[e]] += score[e]
+        able = [e for e in range(1, n) if self.is_container[e] and text[e] > 0]
+        if not able:
             return "", 0.0
-        top = max(scores, key=lambda e: (scores[e], -e))
-        return self.path[top], scores[top]
+        top = self._widened(max(able, key=lambda e: (score[e], self.path[e].count(">"), -e)), adds)
+        return self.path[top], text[top]
+
+    def _container(self, element: int) -> int:
+        while element > 0 and not self.is_container[element]:
+            element = self.parent[element]
+        return element
+
+    def _widened(self, top: int, adds: list[bool]) -> int:
+        """The article around the element, or else the nearest container below the body that adds text to it."""
+        if self.tag[top] in ("article", "main", "body"):
+            return top
+        nearest, e = top, self._container(self.parent[top])
+        while e > 0 and self.tag[e] not in ("main", "body"):
+            if self.tag[e] == "article":
+                return e
+            if nearest == top and adds[e]:
+                nearest = e
+            e = self._container(self.parent[e])
+        return nearest
+
+    def layout(self) -> str:
+        """Digest of the set of the containers' paths."""
+        paths = {p for p, inside, out in zip(self.path, self.is_container, self.left_out, strict=True) if inside and not out}
+        return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "replace"), digest_size=12).hexdigest()
 
     def text(self, path: str) -> str:
         """Blocks below the elements on the path (the empty path: of the page), joined by blank lines."""
@@ -201,13 +247,22 @@ class Page:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Page(h or "").best() for h in batch["html"].to_pylist()]
+        pages = [Page(h or "") for h in batch["html"].to_pylist()]
+        found = [page.best() for page in pages]
+        columns = [[page.layout() for page in pages], [p for p, _ in found], [s for _, s in found]]
+        types = (pa.string(), pa.string(), pa.float64())
         yield pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-            names=["host", "path", "score"],
+            [batch["host"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+            names=["host", "layout", "path", "score"],
         )
 
 
+def _with_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        layouts = pa.array([Page(h or "").layout() for h in batch["html"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, layouts], names=[*batch.schema.names, "layout"])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -226,10 +281,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host.alias("host")
     )
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, score double")
-    sums = votes.where("path != ''").groupBy("host", "path").agg(F.sum("score").alias("score"))
-    top = sums.groupBy("host").agg(F.max(F.struct("score", "path")).alias("top"))
-    winners = materialize(top.select("host", F.col("top.path").alias("path")), "winners")
-    few = winners.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(winners) if few else winners, "host", "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    votes = rows.where("host != ''").select("host", "html").mapInArrow(_vote, "host string, layout string, path string, score double")
+    sums = votes.groupBy("host", "layout", "path").agg(F.sum("score").alias("score"), F.count("*").alias("pages"))
+    sums = materialize(sums, "votes")
+    strongest = F.max(F.when(F.col("path") != "", F.struct("score", "path")))["path"]
+    by_host = sums.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(strongest.alias("host_path"))
+    winners = materialize(by_host.where("host_path is not null"), "winners")
+    by_layout = sums.groupBy("host", "layout").agg(strongest.alias("layout_path"), F.sum("pages").alias("pages"))
+    by_layout = by_layout.where(F.col("pages") >= LAYOUT_PAGES).drop("pages").join(winners, "host")
+    layouts = materialize(by_layout.where("layout_path != host_path").drop("host_path"), "layouts")
+    joined = rows.join(_small(winners), "host", "left")
+    path = F.col("host_path")
+    if not layouts.isEmpty():
+        described = joined.mapInArrow(_with_layout, T.StructType([*joined.schema.fields, T.StructField("layout", T.StringType())]))
+        joined = described.join(_small(layouts), ["host", "layout"], "left")
+        path = F.coalesce("layout_path", "host_path")
+    chosen = joined.select("page_id", "url", "html", path.alias("path"))
+    return chosen.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -49,3 +49,39 @@ def test_attributes_are_read_by_whole_names():
         page = html_text.Page(f"<body>{tag}<p>furniture</p></div><p>text</body>")
         assert [text for _, text, _ in page.blocks] == ["text"], tag
     assert html_text.Page("<p title=\"never closed>text").blocks[0][1] == "text"
+
+
+def _words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def _page(article):
+    return f"<body><nav><a href=/>Home</a> <a href=/n>News of the day</a></nav>{article}<footer>Imprint and contact</footer></body>"
+
+
+def test_articles_are_found_whole():
+    title, lead, body = _words("title", 4), _words("lead", 40), _words("body", 60)
+    comments = f'<div class="comments"><p>{_words("comment", 500)}</p></div>'
+    whole = f"{title}\n\n{lead}\n\n{body}"
+    for article in (
+        f'<article><h1>{title}</h1><div class="top">{lead}</div><div class="body">{body}</div></article>',
+        f'<article><h1>{title}</h1><p>{lead}</p><div class="body"><p>{body}</p></div></article>',
+        f'<article><h1>{title}</h1><p>{lead}</p><div class="body"><p>{body}</p></div>{comments}</article>',
+        f'<div class="post"><h1>{title}</h1><p>{lead}</p><div class="body"><p>{body}</p></div>{comments}</div>',
+        f'<div class="post"><div><div><h1>{title}</h1></div></div><div><div><p>{lead}</p></div></div><div><div><p>{body}</p></div></div></div>',
+    ):
+        page = html_text.Page(_page(article))
+        assert page.text(page.best()[0]) == whole, article
+    beside = html_text.Page(_page(f'<div class="box"><a href=/x>{_words("other", 30)}</a></div><div class="post"><p>{body}</p></div>'))
+    assert beside.text(beside.best()[0]) == body
+
+
+def test_votes_by_layout_and_without_host(spark):
+    news = _page(f'<div class="box"><p>{_words("box", 10)}</p></div><article><p>{_words("news", 80)}</p></article>')
+    wiki = _page(f'<article><p>{_words("box", 10)}</p></article><div class="wiki"><p>{_words("wiki", 50)}</p></div><ul><li><a>{_words("more", 60)}</a></ul>')
+    rows = [(i, f"https://h.example/{i}", news) for i in range(5)] + [(10 + i, f"https://h.example/w{i}", wiki) for i in range(3)]
+    rows += [(20 + i, None, news) for i in range(5)] + [(30, None, _page(f'<div class="wiki"><p>{_words("wiki", 50)}</p></div><article><nav>{_words("menu", 9)}</nav><p>{_words("box", 3)}</article>'))]
+    text = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(text) == len(rows)
+    assert all(_words("news", 80) in text[i] for i in (0, 4, 20, 24))
+    assert all(_words("wiki", 50) in text[i] for i in (10, 12, 30))
