@@ -3,10 +3,11 @@
 Every line with a word is judged by itself:
 
 - punctuation: marks such as # * $ % & make up a tenth or more as many characters as the line
-  has words, or words end in doubled exclamation or question marks, or nothing but marks is left;
+  has words (marks that lead a list line and single marks beside a number do not count), or words
+  end in doubled exclamation or question marks, or nothing but marks is left;
 - navigation: two or more separators such as | or » between entries, or at most three words that
   no sentence mark ends, in a document of several lines;
-- boilerplate: the line holds a fixed phrase of web pages.
+- boilerplate: fixed phrases of web pages make up at least half of the line's characters.
 
 Failing lines are removed.  A document is rejected if it fails the base rules (fewer than 50
 words, or more than half of its words in repeated three-word windows) or if less than half of the
@@ -52,6 +53,12 @@ BOILERPLATE = (
     "back to top",
     "skip to content",
 )
+PHRASES = "|".join(BOILERPLATE)
+LIST_MARKS = r"^(?:[\x20\x09-\x0D]*[*#>]{1,6}(?=[\x20\x09-\x0D]))+"
+BESIDE_NUMBER = (
+    r"(?<![#*$%&<>])(?:[#*&<>]\x20?|\$[\x20\xA0]?)(?=[-+]?\.?\p{Nd})"
+    r"|(?<=\p{Nd})[\x20\xA0\u202F]?%(?![#*$%&<>])"
+)
 END_MARKS = ".!?…:;\"'”’»)"
 
 
@@ -137,6 +144,8 @@ def line_fails(line: Column, flags: Column) -> Column:
     marked, phrased, several = (flags.bitwiseAND(F.lit(1 << bit)) != 0 for bit in range(3))
     n_words = F.size(words_of(line))
     marks = F.length(line) - F.length(_without(line, "#*$%&<>"))
+    after_list = F.regexp_replace(line, LIST_MARKS, "")
+    counted = F.length(after_list) - F.length(_without(after_list, "#*$%&<>")) - F.regexp_count(after_list, F.lit(BESIDE_NUMBER))
     separators = F.length(line) - F.length(_without(line, "|»·•›"))
     shouted = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     ended = F.length(_without(F.substring(F.rtrim(line), -1, 1), END_MARKS)) == 0
@@ -144,17 +153,21 @@ def line_fails(line: Column, flags: Column) -> Column:
         (
             marked
             & (
-                ((marks > 0) & (10 * marks >= n_words))
+                ((marks > 0) & (10 * marks >= n_words) & (counted > 0) & (10 * counted >= n_words))
                 | (5 * shouted >= n_words)
                 | ((separators >= 2) & (4 * separators >= n_words))
             )
         )
         | ~line.rlike(r"[\p{L}\p{N}]")
         | (several & ~ended & (n_words <= SHORT_LINE))
-        | (phrased & _has_phrase(F.lower(line)))
+        | (phrased & _has_phrase(F.lower(line)) & _mostly_phrases(F.lower(F.trim(line))))
     )
 
 
+def _mostly_phrases(lower: Column) -> Column:
+    return 2 * F.length(F.regexp_replace(lower, PHRASES, "")) <= F.length(lower)
+
+
 def _has_phrase(lower: Column) -> Column:
     found = F.lit(False)
     for phrase in BOILERPLATE:

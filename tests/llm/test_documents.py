@@ -149,6 +149,24 @@ def test_quality_figures_and_verdicts(docs):
     assert not by_id[10].kept and not by_id[1].kept
 
 
+def test_quality_keeps_clean_texts_with_phrases_and_marks(spark):
+    prose = PROSE.replace(".", "")
+    bullets = "\n".join(f"* buy{i} fresh{i} milk{i} now{i}\n## part{i} of{i} the{i} list{i}\n> quoted{i} line{i} number{i} {i}" for i in range(30))
+    money = "\n".join(f"Sales{i} rose {i}% to ${i} billion{i}, item{i} #{i} costs{i} $.{i} or{i} 7 % of{i} $ {i}." for i in range(30))
+    clean = [
+        prose + " as our privacy policy and the terms of use say " + " ".join(f"v{i}" for i in range(90)),
+        prose + "\nPlease read the privacy policy before you send the form to the office in town.",
+        bullets,
+        money,
+    ]
+    junk = ["All rights reserved.", "Privacy Policy and Terms of Use", "We use cookies. Click here to accept all cookies", "De%%% que&&& a*** 5%%% b###", "a * b # c & d"]
+    rows = [(i, text) for i, text in enumerate(clean)] + [(10, prose + "\n" + "\n".join(junk))]
+    got = {r.row.doc_id: r for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in enumerate(clean):
+        assert got[i].kept and got[i].clean_text == text
+    assert got[10].clean_text == prose and got[10].n_lines_removed == len(junk)
+
+
 def test_personal_data_matches_the_plain_forms(docs):
     forms = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
