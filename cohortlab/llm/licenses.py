@@ -8,7 +8,11 @@ values, one a band; a document's window lies at most a quarter window away from
 their similarity is 0.6 or more for a verbatim copy and a band agrees with a chance of 1 - 0.4**12.
 
 A retrieved template is verified by exact containment: the share of its distinct shingles that
-occur in the part of the document that can hold it around the hit.
+occur in the part of the document that can hold it around the hit.  Notices that differ by a word
+or a version hold most of each other's shingles; of such rivals only the most contained is reported
+at a hit.
+
+Full texts of licenses are known by a passage of their opening, so a part of one without it is not found.
 
 Windows are arrays inside their row; only hits (row, place, band key and the shingles around) leave
 it, and meet the templates' keys, whose number depends on the templates alone.
@@ -56,6 +60,106 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "GPL-2.0 notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "LGPL-2.0 notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
+        "your option) any later version."
+    ),
+    "LGPL-2.1 notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version."
+    ),
+    "LGPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "AGPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "BSD-3-Clause": (  # after the holder's name, which differs
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "MPL-1.1 notice": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not "
+        "use this file except in compliance with the License."
+    ),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-4.0 short": "Licensed under CC BY 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    ),
+    "CC-BY-ND-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."
+    ),
+    "CC-BY-NC-SA-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."
+    ),
+    "CC-BY-NC-ND-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."
+    ),
+    # full texts, by a passage of their opening that no other license has
+    "Apache-2.0 text": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+        "REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, "
+        "reproduction, and distribution as defined by Sections 1 through 9 of this document."
+    ),
+    "GPL-2.0 text": (
+        "Preamble The licenses for most software are designed to take away your freedom to share and change it. By "
+        "contrast, the GNU General Public License is intended to guarantee your freedom to share and change free "
+        "software--to make sure the software is free for all its users."
+    ),
+    "GPL-3.0 text": (
+        "Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The "
+        "licenses for most software and other practical works are designed to take away your freedom to share and change "
+        "the works."
+    ),
+    "AGPL-3.0 text": (
+        "Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+        "specifically designed to ensure cooperation with the community in the case of network server software."
+    ),
+    "LGPL-2 text": (  # 2.0 and 2.1
+        "Preamble The licenses for most software are designed to take away your freedom to share and change it. By "
+        "contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free "
+        "software--to make sure the software is free for all its users."
+    ),
+    "LGPL-2.1 text": (
+        "This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public "
+        "License, version 2, hence the version number 2.1."
+    ),
+    "LGPL-3.0 text": (
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the "
+        "GNU General Public License, supplemented by the additional permissions listed below."
+    ),
+    "MPL-2.0 text": (
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that "
+        "creates, contributes to the creation of, or owns Covered Software."
+    ),
+    "CC0-1.0 text": (
+        "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE "
+        "LEGAL SERVICES."
+    ),
 }
 
 
@@ -114,6 +218,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     known = table.collect()  # as large as the templates given
     short = sorted({k for r in known if r["short"] for k in r["keys"]})
     long = sorted({k for r in known if not r["short"] for k in r["keys"]})
+    own = {r["license"]: set(r["own"]) for r in known}
+    rivals = [
+        (a, [sorted(other) for b, other in own.items() if a != b and len(mine & other) >= CONTAINMENT * len(mine)])
+        for a, mine in own.items()
+    ]
     reach = max((len(r["own"]) for r in known), default=1)
     text = text_of(docs, text_col)
     rows = rows_of(docs, id_col, key=F.xxhash64(text), s=shingles(text))
@@ -140,9 +249,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
         rows.select("doc_id", "key", F.when(F.col("s").isNotNull(), described).alias("hits")), "hits"
     )
     found = found.select("doc_id", "key", F.explode("hits").alias("h")).select("doc_id", "key", "h.*")
-    keyed = table.select("license", "own", F.explode(F.array_distinct("keys")).alias("hit"))
-    share = F.size(F.array_intersect("near", "own")) / F.size("own")
-    verified = found.join(F.broadcast(keyed), "hit").withColumn("containment", share).where(F.col("containment") >= CONTAINMENT)
+    described = table.join(spark.createDataFrame(rivals, "license string, rivals array<array<bigint>>"), "license")
+    keyed = described.select("license", "own", "rivals", F.explode(F.array_distinct("keys")).alias("hit"))
+
+    def share(template: Column) -> Column:
+        return F.size(F.array_intersect(F.col("near"), template)) / F.size(template)
+
+    verified = found.join(F.broadcast(keyed), "hit").withColumn("containment", share(F.col("own")))
+    verified = verified.where(F.col("containment") >= CONTAINMENT)
+    verified = verified.where(~F.exists("rivals", lambda r: share(r) > F.col("containment")))
     return verified.groupBy("doc_id", "key", "license").agg(
         F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_shingle")
     ).drop("key")

@@ -268,6 +268,25 @@ def test_notices_are_found_wherever_they_stand(spark):
     assert got == {(k * 10 + j, name) for k, name in enumerate(licenses.TEMPLATES) for j in range(4)}
 
 
+def test_common_licenses_are_told_apart(spark):
+    free = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    texts = {
+        "GPL notice": free.format(":", "General", ",", "3"),
+        "GPL-2.0 notice": free.format(";", "General", ";", "2"),
+        "LGPL-3.0 notice": free.format(":", "Lesser General", ",", "3"),
+        "AGPL-3.0 notice": free.format(":", "Affero General", ",", "3"),
+        "BSD-3-Clause": "Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+        "CC-BY-NC-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    }
+    rows = [(i, f"{PROSE} {text} {PROSE}") for i, text in enumerate(texts.values())]
+    rows.append((100, f"{texts['GPL notice']} {texts['LGPL-3.0 notice']}"))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, name) for i, name in enumerate(texts)} | {(100, "GPL notice"), (100, "LGPL-3.0 notice")}
+
+
 def test_base_scores_are_exact_and_the_model_predicts_held_out_text(spark, small, monkeypatch):
     monkeypatch.setattr(maxent_lm, "KEPT", 300)
     docs = spark.read.parquet(f"{small}/documents.parquet")
