@@ -127,11 +127,11 @@ def ranged(light: DataFrame, total: int, ranges: int) -> tuple[DataFrame, list]:
     bounds = splitters(light, total, ranges)
     schema = T.StructType([*light.schema.fields, T.StructField("part", T.IntegerType())])
     per_range = total / ranges
-    for _ in range(ROUNDS):
+    for left in range(ROUNDS, -1, -1):  # the statistics are always those of the last bounds
         found = light.mapInArrow(_assign(bounds), schema)
         stats = found.groupBy("part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).orderBy("part").collect()
         overfull = {r["part"]: r["bytes"] for r in stats if r["bytes"] > OVERFULL * per_range and r["rows"] > 1}
-        if not overfull:
+        if not overfull or not left:
             break
         inside = found.where(F.col("part").isin(list(overfull))).drop("part")
         held = sum(overfull.values())

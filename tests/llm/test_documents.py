@@ -219,6 +219,19 @@ def test_many_records_make_level_shards(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in placed)
 
 
+def test_range_statistics_belong_to_the_last_bounds(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROUNDS", 1)
+    monkeypatch.setattr(sharding, "OVERFULL", 1.0)
+    table = sharding.records(spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(3_000)], "doc_id long, text string"))
+    total = table.agg({"size": "sum"}).first()[0]
+    parted, stats = sharding.ranged(table, total, 8)
+    sums = defaultdict(lambda: [0, 0])
+    for r in parted.collect():
+        sums[r.part][0] += 1
+        sums[r.part][1] += r.size
+    assert {r["part"]: [r["rows"], r["bytes"]] for r in stats} == sums
+
+
 def test_pieces_hold_every_id_once(docs):
     tokenizer = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
     lengths = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)
