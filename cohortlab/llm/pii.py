@@ -253,7 +253,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` (under ``row``) and the text with each span replaced by <kind>."""
+    """All columns of ``docs`` (under ``row``) and the text with each span replaced by <kind>, overlapping spans by the first one's."""
     found = _found(docs, id_col, text_col)
     more = _discovered(found, patterns(found))
     none = F.array().cast(_SPAN)
@@ -267,7 +267,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def step(a: Column, s: Column) -> Column:
         between = F.substring(F.col("w_text"), a["at"] + 1, s["start"] - a["at"])
         put = F.struct(s["stop"].alias("at"), F.concat(a["out"], between, F.lit("<"), s["kind"], F.lit(">")).alias("out"))
-        return F.when(s["start"] >= a["at"], put).otherwise(a)
+        tail = F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))  # of a span begun inside another
+        return F.when(s["start"] >= a["at"], put).otherwise(tail)
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda a: F.concat(a["out"], F.substring(F.col("w_text"), a["at"] + 1, F.length("w_text")))

@@ -197,6 +197,11 @@ def test_contexts_discover_what_the_forms_miss(spark):
     assert got[101] == ""
 
 
+def test_masks_cover_overlapping_spans(spark):
+    docs = spark.createDataFrame([(1, "call +123 45678 90x@y.example.com now")], "doc_id long, text string")
+    assert pii.mask(docs).first().masked_text == "call <phone> now"
+
+
 def test_shards_are_level_and_gapless(docs):
     rows = sharding.shard_by_bytes(docs, shards=4).collect()
     assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 1 for _, t in ROWS)
