@@ -51,7 +51,8 @@ def test_scans_read_only_needed_columns(spark, small):
 
 def test_no_forbidden_calls():
     banned = (r"\.crossJoin\(", r"localCheckpoint", r"\.rdd\.(map|flatMap|groupBy)", r"monotonically_increasing_id")
-    for source in PACKAGE.rglob("*.py"):
+    optional = PACKAGE / "llm"  # has rules and tests of its own
+    for source in (s for s in PACKAGE.rglob("*.py") if optional not in s.parents):
         text = source.read_text()
         for pattern in banned:
             assert not re.search(pattern, text), (source, pattern)
