@@ -15,10 +15,13 @@ from cohortlab.llm import (
     near_dedup,
     oracles,
     packing,
+    phrases,
     pieces,
     pii,
     quality,
     sharding,
+    warc,
+    whitening,
 )
 from cohortlab.llm.common import read
 from cohortlab.session import ship_package
@@ -65,6 +68,18 @@ def op10_lm_score(spark, sf):
     return maxent_lm.score_documents(read(spark, sf, "documents"))
 
 
+def op11_warc(spark, sf):
+    return warc.archive_round(read(spark, sf, "pages"))
+
+
+def op12_whitening(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+def op13_phrases(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents"))
+
+
 QUERIES = (
     op1_exact_dedup,
     op2_license_scan,
@@ -76,6 +91,9 @@ QUERIES = (
     op8_pieces,
     op9_html_text,
     op10_lm_score,
+    op11_warc,
+    op12_whitening,
+    op13_phrases,
 )
 
 
