@@ -1,11 +1,13 @@
-"""Exact k-nearest-neighbour join.
+"""Exact k-nearest-neighbour join by a nested partition tree.
 
-No pairs are ever emitted.  Points are put in cells of a space partition, each
-with its bounding box.  A query first searches its nearest cell, which bounds
-the distance of its k-th neighbour; it then visits only the cells whose box
-comes closer than that bound.  Cells are searched as numpy blocks of bounded
-size and return k candidates per query, so the result is exact at any size and
-the cost follows the number of cells the bound cannot rule out.
+No pairs of rows are ever emitted.  Points are put in the nodes of a space partition that is
+``NODE_DEPTH`` cuts deep at each level and as many levels high as the table asks for; queries fall
+into the same nodes.  A query first searches its own node, which bounds the distance of its k-th
+neighbour.  Nodes of queries then meet nodes of points level by level: a pair of nodes lives on only if
+their boxes come closer than the largest bound in the query node, so the table of visits holds two
+node numbers and a bound and no features.  At the last level each query of the node is held against the
+box once more, and the nodes that are left are searched as numpy blocks of bounded size.  The result is exact
+at any size, and only the cuts and boxes of the first level (at most 2^NODE_DEPTH) leave Spark.
 
 Copies of the same vector are cut down to the few with the smallest ids, which
 are the only ones that can be among the k nearest; a third of all rows being
@@ -14,22 +16,23 @@ identical therefore costs no more than one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.functions.expressions import add_all
 from cohortlab.session import materialize
 
-DIRECT_POINTS = 16_384  # up to here all points form one block, which saves the jobs that build cells
-CELL_ROWS = 1024  # points per cell aimed at
-MAX_CELLS = 16_384  # bounds the box table sent to the tasks
-MAX_CHUNK = 50_000  # points per block; larger cells are searched in several blocks
-MAX_QUERIES = 2_000  # queries per block
-CUT_SAMPLE = 16 * MAX_CELLS  # rows used to place the cuts; they affect balance only
+NODE_ROWS = 1024  # points per node aimed at
+NODE_DEPTH = 10  # cuts between a node and its children, which are 2^NODE_DEPTH at most
+BLOCK_POINTS = 50_000  # points searched as one block; larger nodes are several blocks
+BLOCK_QUERIES = 2_000  # queries searched against one block
+SAMPLE_ROWS = 16  # sampled points per node that place the cuts; they affect balance only
 TILE = 500_000  # distances held at once; rows per step follow from it
 
 _Q, _P = "_qid", "_pid"
@@ -66,16 +69,6 @@ def _cell_of(x: np.ndarray, axis: np.ndarray, value: np.ndarray, depth: int) ->
     return node - (2**depth - 1)
 
 
-def _box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distance from every row to every box, shape (rows, boxes)."""
-    total = np.zeros((len(x), len(low)))
-    for j in range(x.shape[1]):
-        col = x[:, j, None]
-        gap = np.maximum(np.maximum(low[None, :, j] - col, col - high[None, :, j]), 0.0)
-        total += gap * gap
-    return total
-
-
 def _nearest(
     q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray, same: np.ndarray | None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,25 +100,34 @@ def _nearest(
     return row[first], col[first], value[first]
 
 
-def _scan(
-    visits: DataFrame, points: DataFrame, features, carry, k: int, exclude_self: bool, blocks: int
-) -> DataFrame:
-    """Search every visited block; one row per visit with up to k candidates within its ``_bound``.
+def _box_expression(f_cols) -> Column:
+    """Squared distance of a row's features from the box in its columns lo*, hi*."""
+    zero = F.lit(0.0)
+    gaps = [F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), zero) for c in f_cols]
+    return add_all([g * g for g in gaps])
+
+
+def _box_pairs(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest squared distance between every box of one set and every box of another."""
+    least, most = np.zeros((len(low), len(lows))), np.zeros((len(low), len(lows)))
+    for j in range(low.shape[1]):
+        up, down = lows[None, :, j] - high[:, None, j], low[:, None, j] - highs[None, :, j]
+        gap, reach = np.maximum(np.maximum(up, down), 0.0), np.maximum(-up, -down)
+        least += gap * gap
+        most += np.maximum(reach, gap) ** 2
+    return least, most
 
-    A block is (cell, chunk of its points, slice of its visiting queries), so a
-    cell that attracts many queries is searched by several tasks.
+
+def _scan(asked: DataFrame, points: DataFrame, slices: DataFrame, features, carry, k: int, exclude_self: bool, blocks: int) -> DataFrame:
+    """Search blocks: the rows of ``asked`` (with ``_node``, ``_chunk``, ``_bound``) against the points there.
+
+    One row per row of ``asked`` with up to k candidates within its ``_bound``.  A block is (node,
+    chunk of its points, slice of its visiting queries), so a node that attracts many queries is
+    searched by several tasks; ``slices`` has the number of slices of each node.
     """
-    sizes = visits.groupBy("_cell", "_chunk").agg(
-        F.ceil(F.count(F.lit(1)) / MAX_QUERIES).cast("int").alias("_slices")
-    )
-    # At most MAX_CELLS cells, each with the chunks of its point count.
-    left = visits.join(sizes, ["_cell", "_chunk"]).withColumn(
-        "_slice", F.pmod(F.xxhash64(_Q), F.col("_slices")).cast("int")
-    )
-    right = points.join(sizes, ["_cell", "_chunk"]).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
-    )
-    key = ["_cell", "_chunk", "_slice"]
+    left = asked.join(slices, "_node").withColumn("_slice", F.pmod(F.xxhash64(_Q), F.col("_slices")).cast("int"))
+    right = points.join(slices, "_node").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    key = ["_node", "_chunk", "_slice"]
 
     def search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values(_P, kind="stable")
@@ -143,26 +145,19 @@ def _scan(
             ids += np.split(p_ids[col], ends)
             dist += np.split(value, ends)
             more += [e.ravel() for e in np.split(extra[col], ends)]
-        out = asked[[_Q, *features, "_cell", "_chunk"]].copy()
+        out = asked[[_Q, *features, "_node", "_chunk"]].copy()
         if not len(p):
             ids, dist, more = ([[]] * len(q) for _ in range(3))
-        out["_ids"], out["_d2"], out["_more"] = ids, dist, more
+        for name, lists in (("_ids", ids), ("_d2", dist), ("_more", more)):
+            out[name] = pd.Series(lists, index=out.index, dtype=object)
         return out
 
-    schema = T.StructType(
-        [T.StructField(_Q, T.LongType())]
-        + [T.StructField(f, T.DoubleType()) for f in features]
-        + [T.StructField("_cell", T.IntegerType()), T.StructField("_chunk", T.IntegerType())]
-        + [
-            T.StructField("_ids", T.ArrayType(T.LongType())),
-            T.StructField("_d2", T.ArrayType(T.DoubleType())),
-            T.StructField("_more", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    numbers = ", ".join(f"{f} double" for f in features)
+    schema = f"{_Q} long, {numbers}, _node long, _chunk int, _ids array<long>, _d2 array<double>, _more array<double>"
     # The work grows with pairs, not bytes, so the task count is given explicitly:
     # adaptive execution would merge these small partitions into a few slow tasks.
     # ``blocks`` is how many there are at most.
-    tasks = min(blocks, int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(blocks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = left.select(*key, _Q, "_bound", *features).repartition(tasks, *key)
     right = right.select(*key, _P, *features, *carry).repartition(tasks, *key)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
@@ -179,97 +174,173 @@ def _vectors(df: DataFrame, id_col: str, id_name: str, features, carry=()) -> Da
     return df.select(F.col(id_col).cast("bigint").alias(id_name), *cols, *extra)
 
 
-def _pruned_search(
-    asked: DataFrame, kept: DataFrame, n: int, f_cols, c_cols, k: int, exclude_self: bool
-) -> DataFrame:
-    """Candidates of every query from the cells that its bound cannot rule out."""
-    cells = min(MAX_CELLS, max(2, n // CELL_ROWS))
-    depth = int(np.ceil(np.log2(cells)))
-    share = min(1.0, CUT_SAMPLE / n)
-    sample = kept.select(*f_cols)
-    sample = sample if share == 1.0 else sample.sample(share, seed=7)
-    axis, value = _grow_cuts(sample.toPandas().to_numpy(float), depth)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[f_cols].to_numpy(float)
-            yield pdf.assign(_cell=_cell_of(x, axis, value, depth).astype("int32"))
-
-    placed_schema = T.StructType([*kept.schema.fields, T.StructField("_cell", T.IntegerType())])
-    placed = materialize(kept.mapInPandas(place, placed_schema), "cells")
-    boxes = (
-        placed.groupBy("_cell")
-        .agg(
-            F.ceil(F.count(F.lit(1)) / MAX_CHUNK).cast("int").alias("_chunks"),
-            *[F.min(c).alias(f"lo{c}") for c in f_cols],
-            *[F.max(c).alias(f"hi{c}") for c in f_cols],
-        )
-        .orderBy("_cell")
-        .toPandas()
-    )
-    box_cell = boxes["_cell"].to_numpy()
-    box_chunks = boxes["_chunks"].to_numpy()
-    low = boxes[[f"lo{c}" for c in f_cols]].to_numpy(float)
-    high = boxes[[f"hi{c}" for c in f_cols]].to_numpy(float)
-    rows = max(1, TILE // max(1, len(box_cell)))
-    # The cells that needed splitting, as a table of one row per cell.
-    chunk_table = placed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / MAX_CHUNK).cast("int").alias("_chunks")
-    )
-    blocks = (
-        placed.join(F.broadcast(chunk_table), "_cell")
-        .withColumn("_chunk", F.pmod(F.xxhash64(_P), F.col("_chunks")).cast("int"))
-        .drop("_chunks")
-    )
-
-    visit_schema = T.StructType(
-        [T.StructField(_Q, T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in f_cols]
-        + [T.StructField("_cell", T.IntegerType()), T.StructField("_chunk", T.IntegerType())]
-        + [T.StructField("_bound", T.DoubleType())]
-    )
-
-    def first_visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0 or len(box_cell) == 0:
-                continue
-            x = pdf[f_cols].to_numpy(float)
-            home = np.concatenate(
-                [_box_distance(x[i : i + rows], low, high).argmin(axis=1) for i in range(0, len(x), rows)]
-            )
-            chunk = np.abs(pdf[_Q].to_numpy()) % box_chunks[home]
-            yield pdf.assign(_cell=box_cell[home].astype("int32"), _chunk=chunk.astype("int32"), _bound=np.inf)
-
-    def later_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), rows):
-                part = pdf.iloc[start : start + rows]
-                bound = np.array([d[-1] if len(d) == k else np.inf for d in part["_d2"]])
-                x = part[f_cols].to_numpy(float)
-                row, box = np.nonzero(_box_distance(x, low, high) <= bound[:, None])
-                times = box_chunks[box]
-                row, box = np.repeat(row, times), np.repeat(box, times)
-                chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                cell = box_cell[box]
-                new = (cell != part["_cell"].to_numpy()[row]) | (chunk != part["_chunk"].to_numpy()[row])
-                out = part[[_Q, *f_cols]].iloc[row[new]]
-                yield out.assign(
-                    _cell=cell[new].astype("int32"),
-                    _chunk=chunk[new].astype("int32"),
-                    _bound=bound[row[new]],
-                )
-
-    def scan(visits: DataFrame) -> DataFrame:
-        n_blocks = int(box_chunks.sum()) + visits.count() // MAX_QUERIES + 1
-        return _scan(visits, blocks, f_cols, c_cols, k, exclude_self, n_blocks)
-
-    found = scan(materialize(asked.mapInPandas(first_visit, visit_schema), "visits"))
-    if len(box_cell) > 1 or box_chunks.max(initial=1) > 1:
-        found = materialize(found, "near")
-        later = found.select(_Q, *f_cols, "_cell", "_chunk", "_d2").mapInPandas(later_visits, visit_schema)
-        later = materialize(later, "visits")
-        found = found.unionByName(scan(later))
-    return found
+class PartitionTree:
+    """Nested space partition of a written table of points; a node's number is the path to it in bits."""
+
+    def __init__(self, points: DataFrame, n: int, f_cols: list[str]) -> None:
+        self.points, self.f_cols = points, f_cols
+        total = max(0, math.ceil(math.log2(max(1, n / NODE_ROWS))))
+        self.depths = [min(NODE_DEPTH, total)]
+        while sum(self.depths) < total:
+            self.depths.append(min(NODE_DEPTH, total - sum(self.depths)))
+        sample = self._sample(points, n, self.depths[0]).select(*f_cols).toPandas().to_numpy(float)
+        self.cuts = _grow_cuts(sample, self.depths[0])
+        self.deeper: list[DataFrame] = []
+        placed = self._first(points)
+        for level in range(1, len(self.depths)):
+            placed = materialize(placed, "level")
+            sampled = self._sample(placed, n, sum(self.depths[: level + 1])).select("_node", *f_cols)
+            self.deeper.append(materialize(self._grown(sampled, self.depths[level]), "cuts"))
+            placed = self._next(placed, _P, level)
+        placed = materialize(placed, "placed")
+        boxes = [F.min(c).alias(f"lo{c}") for c in f_cols] + [F.max(c).alias(f"hi{c}") for c in f_cols]
+        counted = placed.groupBy("_node").agg(F.count(F.lit(1)).alias("_rows"), *boxes)
+        chunks = F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int").alias("_chunks")
+        self.nodes = materialize(counted.select("*", chunks), "nodes")
+        chunk = F.pmod(F.xxhash64(_P), F.col("_chunks")).cast("int").alias("_chunk")
+        self.blocks = placed.join(self.nodes.select("_node", "_chunks"), "_node").select(*placed.columns, chunk)
+
+    @staticmethod
+    def _sample(rows: DataFrame, n: int, depth: int) -> DataFrame:
+        share = min(1.0, SAMPLE_ROWS * 2.0**depth / max(1, n))
+        return rows if share == 1.0 else rows.sample(share, seed=7)
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        (axis, value), depth, f_cols = self.cuts, self.depths[0], self.f_cols
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(_node=_cell_of(pdf[f_cols].to_numpy(float), axis, value, depth))
+
+        return rows.mapInPandas(place, T.StructType([*rows.schema.fields, T.StructField("_node", T.LongType())]))
+
+    def _grown(self, sampled: DataFrame, depth: int) -> DataFrame:
+        """The cuts below every node that has sampled points."""
+        f_cols = self.f_cols
+
+        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            axis, value = _grow_cuts(pdf[f_cols].to_numpy(float), depth)
+            return pd.DataFrame({"_node": [key[0]], "_axis": [axis], "_value": [value]})
+
+        return sampled.groupBy("_node").applyInPandas(grow, "_node long, _axis array<long>, _value array<double>")
+
+    def _next(self, rows: DataFrame, id_col: str, level: int) -> DataFrame:
+        """Rows moved from the nodes of a level to the children; nodes without cuts have one child."""
+        depth, f_cols, columns = self.depths[level], self.f_cols, rows.columns
+        parts = rows.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).cast("int").alias("_parts"))
+        parts = materialize(parts, "parts")
+        left = rows.join(parts, "_node").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int"))
+        right = self.deeper[level - 1].join(parts, "_node")
+        right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+        def place(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+            child = np.zeros(len(pdf), dtype=np.int64)
+            if len(cuts):
+                axis, value = np.asarray(cuts["_axis"].iloc[0]), np.asarray(cuts["_value"].iloc[0], dtype=float)
+                child = _cell_of(pdf[f_cols].to_numpy(float), axis, value, depth)
+            return pdf[columns].assign(_node=pdf["_node"].to_numpy() * 2**depth + child)
+
+        key = ["_node", "_part"]
+        left, right = left.drop("_parts"), right.drop("_parts")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(place, rows.schema)
+
+    def place(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """Written ``rows`` with the node of the last level that each falls into, which may hold no points."""
+        rows = self._first(rows)
+        for level in range(1, len(self.depths)):
+            rows = self._next(materialize(rows, "level"), id_col, level)
+        return materialize(rows, "asked")
+
+    def boxes(self, level: int) -> DataFrame:
+        """Nodes of a level with their number of points and their boxes."""
+        below = sum(self.depths[level + 1 :])
+        extremes = [F.min(f"lo{c}").alias(f"lo{c}") for c in self.f_cols] + [F.max(f"hi{c}").alias(f"hi{c}") for c in self.f_cols]
+        return self.nodes.groupBy(F.shiftright("_node", below).alias("_node")).agg(F.sum("_rows").alias("_rows"), *extremes)
+
+    def visits(self, asked: DataFrame, k: int) -> DataFrame:
+        """Written table of _qnode, _node and _bound: the pairs of nodes that may hold a neighbour.
+
+        ``asked`` holds the boxes of the query nodes and their ``_bound``, the largest distance at
+        which a query of the node still looks for neighbours.
+        """
+        f_cols = self.f_cols
+        lo, hi = [f"lo{c}" for c in f_cols], [f"hi{c}" for c in f_cols]
+        top = self.boxes(0).orderBy("_node").toPandas()  # 2^NODE_DEPTH rows at most
+        number, large = top["_node"].to_numpy(), top["_rows"].to_numpy() > k
+        lows, highs = top[lo].to_numpy(float), top[hi].to_numpy(float)
+        rows = max(1, TILE // max(1, len(top)))
+
+        def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), rows):
+                    part = pdf.iloc[start : start + rows]
+                    least, most = _box_pairs(part[lo].to_numpy(float), part[hi].to_numpy(float), lows, highs)
+                    bound = part["_bound"].to_numpy(float)
+                    if large.any():  # a node of more than k points lies within its greatest distance
+                        bound = np.minimum(bound, most[:, large].min(axis=1) * (1 + 1e-12))
+                    row, col = np.nonzero(least <= bound[:, None])
+                    yield pd.DataFrame({"_qnode": part["_qnode"].to_numpy()[row], "_node": number[col], "_bound": bound[row]})
+
+        pairs = "_qnode long, _node long, _bound double"
+        met = materialize(asked.mapInPandas(first, pairs), "visits")
+        for level in range(1, len(self.depths)):
+            met = materialize(self._children_met(met, asked, level, pairs), "visits")
+        return met
+
+    def _children_met(self, met: DataFrame, asked: DataFrame, level: int, pairs: str) -> DataFrame:
+        """Pairs of query nodes and the children of the nodes they have met that come within the bound."""
+        lo, hi = [f"lo{c}" for c in self.f_cols], [f"hi{c}" for c in self.f_cols]
+        slices = met.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_slices"))
+        slices = materialize(slices.withColumnRenamed("_node", "_parent"), "slices")
+        left = met.withColumnRenamed("_node", "_parent").join(asked.drop("_bound"), "_qnode").join(slices, "_parent")
+        left = left.withColumn("_slice", F.pmod(F.xxhash64("_qnode"), F.col("_slices")).cast("int"))
+        children = self.boxes(level).withColumn("_parent", F.shiftright("_node", self.depths[level]))
+        right = children.join(slices, "_parent").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+
+        def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            bound = q["_bound"].to_numpy(float)
+            least, _ = _box_pairs(*(x[c].to_numpy(float) for x in (q, p) for c in (lo, hi)))
+            row, col = np.nonzero(least <= bound[:, None])
+            return pd.DataFrame({"_qnode": q["_qnode"].to_numpy()[row], "_node": p["_node"].to_numpy()[col], "_bound": bound[row]})
+
+        key = ["_parent", "_slice"]
+        left, right = left.drop("_slices"), right.drop("_slices")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, pairs)
+
+
+def _search(asked: DataFrame, kept: DataFrame, n: int, f_cols, c_cols, k: int, exclude_self: bool) -> DataFrame:
+    """Candidates of every query: those of its own node, then those of the nodes that its bound cannot rule out."""
+    tree = PartitionTree(kept, n, f_cols)
+    placed = tree.place(asked, _Q)
+    counts = materialize(placed.groupBy("_node").agg(F.count(F.lit(1)).alias("_asked")), "counts")
+    sliced = lambda n: F.ceil(n / BLOCK_QUERIES).cast("int").alias("_slices")
+    chunks = tree.nodes.select("_node", "_chunks")
+    blocks = tree.nodes.agg(F.coalesce(F.sum("_chunks"), F.lit(0))).first()[0]
+
+    def scan(visits: DataFrame, slices: DataFrame) -> DataFrame:
+        slices = materialize(slices, "slices")
+        more = slices.agg(F.coalesce(F.sum("_slices"), F.lit(0))).first()[0]
+        return _scan(visits, tree.blocks, slices, f_cols, c_cols, k, exclude_self, int(blocks + more + 1))
+
+    own = F.pmod(F.xxhash64(_Q, F.lit(1)), F.coalesce("_chunks", F.lit(1))).cast("int").alias("_chunk")
+    home = placed.join(chunks, "_node", "left").select(*placed.columns, own, F.lit(float("inf")).alias("_bound"))
+    near = scan(home, counts.select("_node", sliced(F.col("_asked"))))
+    if blocks <= 1:
+        return near
+    near = materialize(near, "near")
+    bound = F.when(F.size("_d2") == k, F.get("_d2", F.lit(k - 1))).otherwise(F.lit(float("inf")))
+    bounded = near.select(_Q, *f_cols, F.col("_node").alias("_qnode"), F.col("_chunk").alias("_home"), bound.alias("_reach"))
+    boxes = [F.min(c).alias(f"lo{c}") for c in f_cols] + [F.max(c).alias(f"hi{c}") for c in f_cols]
+    query_nodes = materialize(bounded.groupBy("_qnode").agg(F.max("_reach").alias("_bound"), *boxes), "query_nodes")
+    visits = tree.visits(query_nodes, k)
+    visiting = visits.join(counts.withColumnRenamed("_node", "_qnode"), "_qnode").groupBy("_node")
+    slices = visiting.agg(sliced(F.sum("_asked")))
+    reach = F.least("_reach", "_bound")
+    met = bounded.join(visits, "_qnode").join(tree.nodes.drop("_rows"), "_node").withColumn("_bound", reach)
+    met = met.where(_box_expression(f_cols) <= F.col("_bound"))
+    met = met.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    met = met.where((F.col("_node") != F.col("_qnode")) | (F.col("_chunk") != F.col("_home")))
+    return near.unionByName(scan(met.select(_Q, *f_cols, "_node", "_chunk", "_bound"), slices))
 
 
 def knn_join(
@@ -301,14 +372,7 @@ def knn_join(
     kept = materialize(kept, "points")
     n = kept.count()
     asked = _vectors(queries, query_id, _Q, features)
-    if n <= DIRECT_POINTS:
-        # One block holds all points.
-        here = {"_cell": F.lit(0), "_chunk": F.lit(0)}
-        unbounded = asked.withColumns({**here, "_bound": F.lit(float("inf"))})
-        cores = asked.sparkSession.sparkContext.defaultParallelism
-        found = _scan(unbounded, kept.withColumns(here), f_cols, c_cols, k, exclude_self, 2 * cores)
-    else:
-        found = _pruned_search(asked, kept, n, f_cols, c_cols, k, exclude_self)
+    found = _search(asked, kept, n, f_cols, c_cols, k, exclude_self)
 
     width = len(carry)
     pairs = found.select(_Q, F.posexplode("_ids").alias("_i", "neighbor_id"), "_d2", "_more")

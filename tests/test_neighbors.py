@@ -42,9 +42,8 @@ def frame(n, dims, seed, start=0, digits=1):
 
 @pytest.fixture
 def tiny_cells(monkeypatch):
-    monkeypatch.setattr(neighbors, "DIRECT_POINTS", 0)
-    monkeypatch.setattr(neighbors, "CELL_ROWS", 16)
-    monkeypatch.setattr(neighbors, "MAX_QUERIES", 10)
+    monkeypatch.setattr(neighbors, "NODE_ROWS", 16)
+    monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 10)
 
 
 def test_exact_over_many_cells(spark, tiny_cells):
@@ -58,7 +57,7 @@ def test_exact_without_self(spark, tiny_cells):
 
 
 def test_exact_when_cells_are_searched_in_chunks(spark, tiny_cells, monkeypatch):
-    monkeypatch.setattr(neighbors, "MAX_CHUNK", 8)
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 8)
     p = frame(150, 3, 4)
     assert joined(spark, p, p, 3, True) == brute(p, p, 3, True)
 
@@ -69,6 +68,38 @@ def test_exact_when_a_third_of_the_rows_are_copies(spark, tiny_cells):
     assert joined(spark, p, p, 4, True) == brute(p, p, 4, True)
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_exact_over_many_levels(spark, tiny_cells, monkeypatch, depth):
+    monkeypatch.setattr(neighbors, "NODE_DEPTH", depth)
+    q, p = frame(50, 3, 11, start=10_000), frame(300, 3, 12)
+    q.loc[:9, "x0"] = 1e6  # far from all points, in nodes that hold few
+    assert joined(spark, q, p, 4) == brute(q, p, 4, False)
+
+
+def test_exact_when_nodes_hold_fewer_points_than_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "NODE_ROWS", 2)
+    p = frame(60, 2, 13, digits=0)
+    assert joined(spark, p, p, 7, True) == brute(p, p, 7, True)
+
+
+@pytest.mark.parametrize("depth", [10, 3])
+def test_few_pairs_of_nodes_meet(spark, monkeypatch, depth):
+    """On clustered points the bound rules out all but a small share of the node pairs, at any height."""
+    monkeypatch.setattr(neighbors, "NODE_ROWS", 32)
+    monkeypatch.setattr(neighbors, "NODE_DEPTH", depth)
+    rng = np.random.default_rng(14)
+    centres = rng.uniform(-1000, 1000, size=(40, 3))
+    data = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 3))
+    points = pd.DataFrame(data, columns=["_f0", "_f1", "_f2"]).assign(_pid=np.arange(4000))
+    tree = neighbors.PartitionTree(spark.createDataFrame(points), 4000, ["_f0", "_f1", "_f2"])
+    boxes = tree.nodes.withColumnRenamed("_node", "_qnode").withColumn("_bound", F.lit(1.0)).drop("_rows", "_chunks")
+    met = tree.visits(boxes, 5)
+    n = tree.nodes.count()
+    assert len(tree.depths) == (1 if depth == 10 else 3) and n > 100
+    assert n <= met.count() < 0.1 * n * n
+    assert set(met.columns) == {"_qnode", "_node", "_bound"}
+
+
 def test_exact_in_one_block(spark):
     q, p = frame(60, 3, 1, start=10_000, digits=0), frame(400, 3, 2, digits=0)
     assert joined(spark, q, p, 4) == brute(q, p, 4, False)
