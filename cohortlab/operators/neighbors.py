@@ -21,11 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.functions.expressions import add_all
 from cohortlab.session import materialize
 
 NODE_ROWS = 1024  # points per node aimed at
@@ -100,13 +99,6 @@ def _nearest(
     return row[first], col[first], value[first]
 
 
-def _box_expression(f_cols) -> Column:
-    """Squared distance of a row's features from the box in its columns lo*, hi*."""
-    zero = F.lit(0.0)
-    gaps = [F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), zero) for c in f_cols]
-    return add_all([g * g for g in gaps])
-
-
 def _box_pairs(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest squared distance between every box of one set and every box of another."""
     least, most = np.zeros((len(low), len(lows))), np.zeros((len(low), len(lows)))
@@ -308,6 +300,45 @@ class PartitionTree:
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, pairs)
 
 
+def _narrowed(bounded: DataFrame, visits: DataFrame, counts: DataFrame, nodes: DataFrame, f_cols) -> DataFrame:
+    """A row for each query and block whose box is within the query's own reach; blocks searched already are left out."""
+    met = visits.groupBy("_qnode").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_parts"))
+    sizes = met.join(counts.withColumnRenamed("_node", "_qnode"), "_qnode")
+    sizes = materialize(sizes.withColumn("_slices", F.ceil(F.col("_asked") / BLOCK_QUERIES).cast("int")).drop("_asked"), "sizes")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = bounded.join(sizes, "_qnode").withColumn("_slice", F.pmod(F.xxhash64(_Q), F.col("_slices")).cast("int")).withColumn("_part", spread("_parts"))
+    right = visits.join(nodes, "_node").join(sizes, "_qnode").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
+    right = right.withColumn("_slice", spread("_slices"))
+    lo, hi = [f"lo{c}" for c in f_cols], [f"hi{c}" for c in f_cols]
+
+    def narrow(q: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        x, reach, home = q[f_cols].to_numpy(float), q["_reach"].to_numpy(float), q["_home"].to_numpy()
+        low, high, bound = boxes[lo].to_numpy(float), boxes[hi].to_numpy(float), boxes["_bound"].to_numpy(float)
+        number, chunks, own = boxes["_node"].to_numpy(), boxes["_chunks"].to_numpy(), boxes["_qnode"].to_numpy()
+        out, step = [], max(1, TILE // max(1, len(boxes)))
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            least, _ = _box_pairs(x[part], x[part], low, high)
+            limit = np.minimum(reach[part, None], bound[None, :])
+            row, col = np.nonzero(least <= limit)
+            times = chunks[col]
+            chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, col = np.repeat(row, times), np.repeat(col, times)
+            new = (number[col] != own[col]) | (chunk != home[part][row])
+            row, col, chunk = row[new], col[new], chunk[new]
+            found = q.iloc[start + row][[_Q, *f_cols]]
+            out.append(found.assign(_node=number[col], _chunk=chunk.astype("int32"), _bound=limit[row, col]))
+        return pd.concat(out) if out else q[[_Q, *f_cols]].assign(_node=0, _chunk=0, _bound=0.0)
+
+    key = ["_qnode", "_slice", "_part"]
+    blocks = sizes.agg(F.coalesce(F.sum(F.col("_parts") * F.col("_slices")), F.lit(1))).first()[0]
+    tasks = min(int(blocks), int(bounded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = left.select(*key, _Q, *f_cols, "_home", "_reach").repartition(tasks, *key)
+    right = right.select(*key, "_node", "_bound", "_chunks", *lo, *hi).repartition(tasks, *key)
+    numbers = ", ".join(f"{f} double" for f in f_cols)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(narrow, f"{_Q} long, {numbers}, _node long, _chunk int, _bound double")
+
+
 def _search(asked: DataFrame, kept: DataFrame, n: int, f_cols, c_cols, k: int, exclude_self: bool) -> DataFrame:
     """Candidates of every query: those of its own node, then those of the nodes that its bound cannot rule out."""
     tree = PartitionTree(kept, n, f_cols)
@@ -334,13 +365,8 @@ def _search(asked: DataFrame, kept: DataFrame, n: int, f_cols, c_cols, k: int, e
     query_nodes = materialize(bounded.groupBy("_qnode").agg(F.max("_reach").alias("_bound"), *boxes), "query_nodes")
     visits = tree.visits(query_nodes, k)
     visiting = visits.join(counts.withColumnRenamed("_node", "_qnode"), "_qnode").groupBy("_node")
-    slices = visiting.agg(sliced(F.sum("_asked")))
-    reach = F.least("_reach", "_bound")
-    met = bounded.join(visits, "_qnode").join(tree.nodes.drop("_rows"), "_node").withColumn("_bound", reach)
-    met = met.where(_box_expression(f_cols) <= F.col("_bound"))
-    met = met.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    met = met.where((F.col("_node") != F.col("_qnode")) | (F.col("_chunk") != F.col("_home")))
-    return near.unionByName(scan(met.select(_Q, *f_cols, "_node", "_chunk", "_bound"), slices))
+    met = _narrowed(bounded, visits, counts, tree.nodes.drop("_rows"), f_cols)
+    return near.unionByName(scan(met, visiting.agg(sliced(F.sum("_asked")))))
 
 
 def knn_join(
