@@ -20,6 +20,7 @@ from cohortlab.operators import (
     models,
     neighbors,
     prep,
+    random_trees,
     sampling,
     services,
 )
@@ -38,7 +39,8 @@ TUNED_THRESHOLD = 0.6
 AGE_LIKE = "qty"
 SHARED_WIDTH = 10.0
 REPORT_TIME = "2024-01-01 12:00:00"
-REPORT_FACTORS = 5
+REPORT_FACTORS = 10
+ROOT_TREES = 10
 SHOWN = ("n_lines", "qty", "total_cents")
 BOX_FEATURES = ("gross_cents", "max_line_cents", "qty", "disc_pts", "tax_pts")
 
@@ -379,6 +381,14 @@ def vector_neighbors(spark, sf):
     )
 
 
+def random_tree_cuts(spark, sf):
+    """The first cut of each of ten random trees on the training part."""
+    train = split_of(prepared(spark, sf), "train")
+    grown = random_trees.grow(train, TARGET, LEAN.features, ROOT_TREES, 1, context(train, LEAN).seed)
+    columns = "tree int, feature string, cut double, low_0 long, low_1 long, high_0 long, high_1 long"
+    return spark.createDataFrame(random_trees.root_cuts(grown), columns)
+
+
 def gaussian_nb(spark, sf):
     data = prepared(spark, sf)
     fitted = models.GaussianBayes.fit(split_of(data, "train"), TARGET, LEAN.features)
@@ -650,6 +660,7 @@ SQL_CHECKED = (
     shuffled_sanity,
     knn_vote,
     vector_neighbors,
+    random_tree_cuts,
     gaussian_nb,
     linear_shap,
     shap_global,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from cohortlab.operators import services
 from cohortlab.plans import catalog, fixed_scores
 from cohortlab.sources.cohorts import DOCUMENTS, ORDERS
@@ -394,6 +396,39 @@ FROM (SELECT experiment, model, {MET[metric]} AS s FROM conf) GROUP BY experimen
     )
 
 
+def random_cuts_sql() -> str:
+    """First cuts of random trees: draws by hash, class counts below each cut, best Gini gain."""
+    long = "\n  UNION ALL ".join(f"SELECT target, '{f}' AS feature, {dbl(f)} AS v FROM data WHERE split = 'train'" for f in LEAN)
+
+    def impure(a: str, b: str) -> str:
+        return f"(1e0 - pow({a}/({a}+{b}), 2) - pow({b}/({a}+{b}), 2))"
+
+    return with_(
+        SPLIT,
+        f"long AS ({long})",
+        "ranges AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature HAVING min(v) < max(v))",
+        f"trees AS (SELECT CAST(unnest(range({catalog.ROOT_TREES})) AS INTEGER) AS tree)",
+        f"""drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY tree
+                ORDER BY md5('42|' || tree || ':1:' || feature || ':order'), feature) AS slot
+  FROM trees CROSS JOIN ranges QUALIFY slot <= {math.isqrt(len(LEAN))})""",
+        """cuts AS (
+  SELECT tree, feature, slot,
+         lo + (hi - lo) * (CAST('0x' || substr(md5('42|' || tree || ':1:' || feature), 1, 8) AS BIGINT) / 4294967296e0) AS cut
+  FROM drawn)""",
+        """sides AS (
+  SELECT tree, slot, c.feature, cut,
+         count(*) FILTER (v <= cut AND target = 0) AS low_0, count(*) FILTER (v <= cut AND target = 1) AS low_1,
+         count(*) FILTER (v > cut AND target = 0) AS high_0, count(*) FILTER (v > cut AND target = 1) AS high_1
+  FROM cuts c JOIN long USING (feature) GROUP BY ALL)""",
+        body=f"""SELECT tree, feature, cut, low_0, low_1, high_0, high_1 FROM sides
+QUALIFY row_number() OVER (PARTITION BY tree ORDER BY
+  ({impure('(low_0+high_0)::DOUBLE', '(low_1+high_1)::DOUBLE')}
+   - (low_0+low_1)::DOUBLE/(low_0+low_1+high_0+high_1)*{impure('low_0::DOUBLE', 'low_1::DOUBLE')}
+   - (high_0+high_1)::DOUBLE/(low_0+low_1+high_0+high_1)*{impure('high_0::DOUBLE', 'high_1::DOUBLE')}) DESC, slot) = 1""",
+    )
+
+
 def bayes_sql() -> str:
     aggs, ll = [], {}
     floor = "(1e-9*greatest(" + ", ".join(f"v_{f}" for f in LEAN) + "))"
@@ -503,7 +538,7 @@ def risk_report_sql() -> str:
 lines AS (
   SELECT row_id, string_agg(feature || ' ' || CASE WHEN phi > 0 THEN 'Increases Risk' ELSE 'Reduces Risk' END
            || ' (magnitude: ' || printf('%.4f', CAST(round(CAST(abs(phi) AS DECIMAL(18,6)), 4) AS DOUBLE)) || ')', '; ' ORDER BY r) AS factors
-  FROM tops WHERE r <= 5 GROUP BY row_id)""",
+  FROM tops WHERE r <= 10 GROUP BY row_id)""",
         body=f"""SELECT k.row_id,
        'total_cents=' || CAST(CAST(total_cents AS BIGINT) AS VARCHAR) || '; acctbal_cents=' || CAST(CAST(acctbal_cents AS BIGINT) AS VARCHAR)
          || '; c_nationkey=' || CAST(CAST(c_nationkey AS BIGINT) AS VARCHAR) AS profile,
@@ -785,6 +820,7 @@ FROM near GROUP BY qid""",
             nearest_ctes("v", "v", "vec_id", [f"e{i}" for i in range(64)], 5, "target", True),
             body="""SELECT qid AS vec_id, neighbor_rank, neighbor_id, lab AS neighbor_target, round(sqrt(d2), 4) AS distance FROM near""",
         ),
+        "random_tree_cuts": random_cuts_sql(),
         "gaussian_nb": bayes_sql(),
         "linear_shap": with_(PHI, body="SELECT * FROM phis"),
         "shap_global": with_(
@@ -794,7 +830,7 @@ FROM near GROUP BY qid""",
         "shap_topn": with_(
             PHI,
             body="""SELECT row_id, feature, value, phi, CAST(k AS INTEGER) AS factor_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS k FROM phis) WHERE k <= 5""",
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS k FROM phis) WHERE k <= 10""",
         ),
         "shap_protective_risk": with_(
             PHI,
