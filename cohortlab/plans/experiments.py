@@ -60,9 +60,46 @@ class Run:
         ids = self.prepared.select(F.col(self.spec.id_col).alias("row_id"), F.col(own).alias("subject"))
         return self.predictions.join(ids, "row_id")
 
-    def leaderboard(self, rank_by: str = "balanced_accuracy") -> DataFrame:
+    def leaderboard(self, rank_by: str = "balanced_accuracy", cv_metric: str = "balanced_accuracy") -> DataFrame:
+        """One row per trained model: metrics, ``cv_mean`` and ``cv_std`` over the folds, ``train_seconds``.
+
+        Without cross-validation the two are null.
+        """
         auc = curves.roc_auc(curves.score_counts_by_value(self.predictions), metrics.DIGITS)
-        return metrics.leaderboard(self.predictions, auc, rank_by)
+        board = metrics.leaderboard(self.predictions, auc, rank_by)
+        seconds = self.status.select("experiment", "model", F.round("seconds", 2).alias("train_seconds"))
+        if self.cv is None:
+            none = F.lit(None).cast("double")
+            board = board.withColumns({"cv_mean": none, "cv_std": none})
+        else:
+            folds = metrics.fold_scores(self.cv, cv_metric)
+            folds = folds.select("experiment", "model", F.col("mean_score").alias("cv_mean"), F.col("std_score").alias("cv_std"))
+            board = board.join(folds, ["experiment", "model"], "left")
+        return board.join(seconds, ["experiment", "model"], "left").orderBy("experiment", "position")
+
+    def best(self, experiment: str, rank_by: str = "balanced_accuracy") -> BestModel:
+        """The first model of the experiment with the threshold that suits its test predictions best."""
+        board = metrics.best_model(metrics.leaderboard(self.predictions, rank_by=rank_by))
+        first = board.where(F.col("experiment") == experiment).first()
+        if first is None:
+            raise ValueError(f"no model of experiment {experiment!r} was trained")
+        own = self.predictions.where((F.col("experiment") == experiment) & (F.col("model") == first["model"]))
+        tuned = metrics.best_threshold(metrics.threshold_table(own)).first()
+        return BestModel(first["model"], self.trained[experiment, first["model"]], tuned["threshold"])
+
+
+@dataclass
+class BestModel:
+    """A trained model and the probability from which on its threshold calls a subject positive."""
+
+    name: str
+    fitted: models.Fitted
+    threshold: float
+
+    def assess(self, requests: DataFrame) -> DataFrame:
+        """``requests``, which hold the model's features, with ``p`` and ``flagged``."""
+        scored = self.fitted.score(requests).drop("yhat")
+        return scored.withColumn("flagged", (F.col("p") >= self.threshold).cast("int"))
 
 
 def given_id(spec: CohortSpec) -> str:

@@ -66,5 +66,53 @@ def test_cross_validation_failure_is_recorded(spark):
     assert (row["status"], row["error"]) == ("failed", "a fold cannot be fitted") and done.cv is None
 
 
+def test_leaderboard_has_training_time_and_no_folds(run):
+    board = run.leaderboard().collect()
+    seconds = {(r["experiment"], r["model"]): r["seconds"] for r in run.status.collect()}
+    assert len(board) == 6
+    for r in board:
+        assert r["train_seconds"] == pytest.approx(seconds[r["experiment"], r["model"]], abs=0.006)
+        assert r["cv_mean"] is None and r["cv_std"] is None
+
+
+def test_leaderboard_has_mean_and_deviation_over_folds(spark):
+    def fit(train, ctx):
+        return models.GaussianBayes.fit(train, ctx.target, ctx.features)
+
+    experiments = (Experiment("plain", False, None),)
+    done = run_experiments(patients(spark, 200, 3), PATIENTS, experiments, lambda: {"m": fit}, use_cv=True)
+    r = done.leaderboard(cv_metric="accuracy").first()
+    right = {}
+    for row in done.cv.collect():
+        right.setdefault(row["fold"], []).append(row["y"] == row["yhat"])
+    shares = [sum(v) / len(v) for v in right.values()]
+    mean = sum(shares) / 5
+    assert len(shares) == 5 and r["cv_mean"] == pytest.approx(mean, abs=1e-4)
+    assert r["cv_std"] == pytest.approx((sum((x - mean) ** 2 for x in shares) / 5) ** 0.5, abs=1e-4)
+
+
+def test_best_model_flags_by_its_tuned_threshold(run):
+    best = run.best("no_leakage_no_smote")
+    board = [r for r in run.leaderboard().collect() if r["experiment"] == "no_leakage_no_smote"]
+    assert best.name == max(board, key=lambda r: (r["balanced_accuracy"], [-ord(c) for c in r["model"]]))["model"]
+    own = [r for r in run.predictions.collect() if r["experiment"] == "no_leakage_no_smote" and r["model"] == best.name]
+
+    def macro_f1(t):
+        said = [(r["p"] >= t, r["y"] == 1) for r in own]
+
+        def f1(c):
+            hit = sum(a == b == c for a, b in said)
+            return 2 * hit / (sum(a == c for a, _ in said) + sum(b == c for _, b in said))
+
+        return (f1(False) + f1(True)) / 2
+
+    assert macro_f1(best.threshold) == pytest.approx(max(macro_f1(i / 20) for i in range(1, 19)), abs=1e-4)
+    test = run.prepared.where("split = 'test'")
+    flags = {r["PatientID"]: (r["p"], r["flagged"]) for r in best.assess(test).collect()}
+    assert len(flags) == 60 and all(f == int(p >= best.threshold) for p, f in flags.values())
+    with pytest.raises(ValueError, match="no model"):
+        run.best("absent")
+
+
 def test_research_svm_has_no_class_weights():
     assert models.research_models()["SVM"].keywords == {"weights": None}
