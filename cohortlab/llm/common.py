@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.session import materialize, scratch_path
 
-__all__ = ["ascii_lower", "drop_path", "materialize", "read", "rebatch", "rows_of", "runs", "scratch_path"]
+__all__ = ["ascii_lower", "columns_of", "drop_path", "materialize", "quoted", "read", "rebatch", "rows_of", "runs", "scratch_path"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +25,15 @@ def rows_of(docs: DataFrame, id_col: str, **columns: Column) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in columns.items()))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it literally, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def text_of(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import (
     ascii_lower,
+    columns_of,
     materialize,
     partitions_for,
+    quoted,
     rebatch,
     rows_of,
     scratch_path,
@@ -306,7 +308,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each text, with all their columns."""
-    content = F.struct(*(docs[c] for c in docs.columns)).alias("content")
+    content = F.struct(*columns_of(docs)).alias("content")
     stored = materialize(
         docs.select(
             content,
@@ -315,6 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
         "rows",
     )
-    members = stored.select(F.col(f"content.`{id_col}`").cast("long").alias("doc_id"), "row", "digest")
-    copies = _resolved(members).where("not kept").select("row")
+    members = stored.select(F.col(f"content.{quoted(id_col)}").cast("long").alias("doc_id"), "row", "digest")
+    # written first, so that Spark knows its size and moves the texts only if it is large
+    copies = materialize(_resolved(members).where("not kept").select("row"), "copies")
     return stored.join(copies, "row", "left_anti").select("content.*")

@@ -338,4 +338,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is that of their component; of repeated rows all stay."""
     dropped = near_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("w_dropped")).distinct()
+    dropped = materialize(dropped, "dropped")  # Spark then knows its size and moves the texts only if it is large
     return docs.join(dropped, docs[id_col].cast("long") == dropped["w_dropped"], "left_anti")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import drop_path, rows_of, scratch_path, text_of
+from cohortlab.llm.common import columns_of, drop_path, materialize, quoted, rows_of, scratch_path, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 FORMS = {
@@ -255,10 +255,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` (under ``row``) and the text with each span replaced by <kind>, overlapping spans by the first one's."""
     found = _found(docs, id_col, text_col)
-    more = _discovered(found, patterns(found))
+    more = materialize(_discovered(found, patterns(found)), "more")  # its size tells Spark whether texts must move
     none = F.array().cast(_SPAN)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs, text_col).alias("w_text"))
-    rows = rows.withColumn("key", F.xxhash64(F.col(f"row.{id_col}").cast("long"), "w_text")).join(more, "key", "left")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), text_of(docs, text_col).alias("w_text"))
+    rows = rows.withColumn("key", F.xxhash64(F.col(f"row.{quoted(id_col)}").cast("long"), "w_text")).join(more, "key", "left")
     spans = F.array_sort(
         F.concat(base_spans(F.col("w_text")), F.coalesce("more", none)),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]),

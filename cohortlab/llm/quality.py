@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import rows_of, text_of
+from cohortlab.llm.common import columns_of, rows_of, text_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
@@ -177,7 +177,7 @@ def _has_phrase(lower: Column) -> Column:
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` (under ``row``), the figures, the cleaned text and the verdict."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs, text_col).alias("w_text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), text_of(docs, text_col).alias("w_text"))
     return _judged(rows)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -338,3 +339,15 @@ def test_pipeline_keeps_clean_documents_and_their_columns(spark, docs):
     assert masked.columns == docs.columns and masked.count() == near.count()
     packed = stages["packing"](spark, masked, "")
     assert packed.select("doc_id").distinct().count() == masked.count()
+
+
+def test_stages_keep_odd_and_clashing_columns(spark, docs):
+    """Names with dots and backticks, and names that the operators use themselves."""
+    odd = {"a.b": 1, "c`d": 2, "row": 3, "kept": 4, "digest": 5, "key": 6, "stays0": 7, "content": 8, "node": 9, "w_text": 10}
+    wide = docs.withColumns({k: F.lit(v) for k, v in odd.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, "")
+        assert wide.columns == [*docs.columns, *odd], name
+        rows = wide.collect()
+        assert rows and all(tuple(r)[len(docs.columns) :] == tuple(odd.values()) for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").select("doc_id").distinct().count() == len(rows)
