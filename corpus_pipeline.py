@@ -9,20 +9,23 @@ the dedup stages drop copies, the personal-data stage masks spans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import cuckoo_dedup, near_dedup, packing, pii, quality
-from cohortlab.llm.common import materialize, read
+from cohortlab.llm.common import materialize, quoted, read
 from cohortlab.session import ship_package
 
 
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with failing lines taken out."""
+    stays = next(n for n in (f"stays{i}" for i in count()) if n not in docs.columns)
+    judged = quality.clean(docs)
+    columns = _with_text(docs, F.col("clean_text"))
     # written before the filter, which the optimizer would repeat inside the loops over the lines
-    judged = materialize(quality.clean(docs), "cleaned").where("kept")
-    columns = [F.col("clean_text").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns]
-    return judged.select(*_counted(docs, columns, F.col("clean_text")))
+    return materialize(judged.select(*columns, F.col("kept").alias(stays)), "cleaned").where(stays).drop(stays)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the kind of it in angle brackets."""
-    masked = pii.mask(docs)
-    columns = [F.col("masked_text").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns]
-    return masked.select(*_counted(docs, columns, F.col("masked_text")))
+    return pii.mask(docs).select(*_with_text(docs, F.col("masked_text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-def _counted(docs: DataFrame, columns: list, text) -> list:
-    """The columns, with the character count made to match the changed text."""
-    return [F.length(text).cast("long").alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns, strict=True)]
+def _with_text(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of ``docs``, held in ``row``, with the changed text and the character count that matches it."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns]
 
 
 STAGES = [
