@@ -34,7 +34,7 @@ from cohortlab.llm.common import materialize, partitions_for, rows_of, text_of
 MAX_LENGTH = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
-REMEMBERED = 500_000  # chunks of text whose ids a worker keeps
+REMEMBERED = 150_000  # chunks of text whose ids a worker keeps
 PIECES_PER_BUCKET = 50_000
 
 _PIECE = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
