@@ -65,8 +65,11 @@ class Scaler:
         )
 
     def scaled(self, column: str) -> Column:
-        value = F.col(column).cast("double") - F.lit(self.means[column])
-        return value / F.lit(self.stds[column])
+        return self.scaled_value(column, F.col(column).cast("double"))
+
+    def scaled_value(self, column: str, value: Column) -> Column:
+        """``value`` on the scale of a fitted column."""
+        return (value - F.lit(self.means[column])) / F.lit(self.stds[column])
 
     def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
         """Scale the fitted columns; with a prefix, beside the raw ones."""

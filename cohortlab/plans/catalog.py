@@ -16,6 +16,7 @@ from cohortlab.operators import (
     curves,
     eda,
     explain,
+    kernel_svm,
     metrics,
     models,
     neighbors,
@@ -41,6 +42,7 @@ SHARED_WIDTH = 10.0
 REPORT_TIME = "2024-01-01 12:00:00"
 REPORT_FACTORS = 10
 ROOT_TREES = 10
+CHECKED_LANDMARKS = 3
 SHOWN = ("n_lines", "qty", "total_cents")
 BOX_FEATURES = ("gross_cents", "max_line_cents", "qty", "disc_pts", "tax_pts")
 
@@ -389,6 +391,16 @@ def random_tree_cuts(spark, sf):
     return spark.createDataFrame(random_trees.root_cuts(grown), columns)
 
 
+def svm_residuals(spark, sf):
+    """What the first three landmarks of the kernel machine leave unexplained of each training row."""
+    train = split_of(prepared(spark, sf), "train")
+    scaler = prep.Scaler.fit(train, LEAN.features)
+    columns = [scaler.scaled(f) for f in LEAN.features]
+    _, pool = kernel_svm.landmark_pool(train, ID, columns, sampling.DEFAULT_SEED)
+    factor = kernel_svm.LandmarkFactor.choose(pool, 1.0 / len(columns), CHECKED_LANDMARKS)
+    return train.select(ID, F.round(kernel_svm.residual_column(factor, columns), 6).alias("residual"))
+
+
 def gaussian_nb(spark, sf):
     data = prepared(spark, sf)
     fitted = models.GaussianBayes.fit(split_of(data, "train"), TARGET, LEAN.features)
@@ -528,10 +540,14 @@ def stream_scoring(spark, sf):
 # --- trained models ------------------------------------------------------------------------
 
 
+def _all_models():
+    return models.refined_models() | models.OTHER_MODELS
+
+
 def _trained(name: str):
     def query(spark, sf):
         experiment = ex.REFINED_EXPERIMENTS[1:2]
-        run = ex.run_experiments(cohort(spark, sf), ORDERS, experiment, only=(name,))
+        run = ex.run_experiments(cohort(spark, sf), ORDERS, experiment, registry=_all_models, only=(name,))
         failed = run.status.where(F.col("status") != "ok").collect()
         if failed:
             raise RuntimeError(failed[0]["error"])
@@ -661,6 +677,7 @@ SQL_CHECKED = (
     knn_vote,
     vector_neighbors,
     random_tree_cuts,
+    svm_residuals,
     gaussian_nb,
     linear_shap,
     shap_global,
@@ -686,7 +703,8 @@ TRAINED_MODELS = {
     "train_tree": "Decision Tree",
     "train_forest": "Random Forest",
     "train_gbt": "Gradient Boosting",
-    "train_rff_svm": "SVM",
+    "train_kernel_svm": "SVM",
+    "train_rff_svm": "SVM on Fourier features",
     "train_knn": "KNN",
     "train_naive_bayes": "Naive Bayes",
     "train_extra_trees": "Extra Trees",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from cohortlab.operators import services
+from cohortlab.operators import kernel_svm, services
 from cohortlab.plans import catalog, fixed_scores
 from cohortlab.sources.cohorts import DOCUMENTS, ORDERS
 
@@ -429,6 +429,33 @@ QUALIFY row_number() OVER (PARTITION BY tree ORDER BY
     )
 
 
+def svm_residuals_sql() -> str:
+    """Three steps of a pivoted Cholesky factor, spelled out."""
+    stats = ", ".join(
+        f"avg({dbl(f)}) AS m_{f}, CASE WHEN min({f}) < max({f}) THEN stddev_pop({dbl(f)}) ELSE 1e0 END AS s_{f}" for f in LEAN
+    )
+    scaled = ", ".join(f"({dbl(f)} - m_{f})/s_{f} AS {f}" for f in LEAN)
+
+    def kernel(a: str, b: str) -> str:
+        return f"exp(-({' + '.join(f'pow({a}.{f} - {b}.{f}, 2)' for f in LEAN)})/{number(len(LEAN))})"
+
+    second = f"({kernel('p', 'l')} - p.k1*l.k1)/sqrt(1e0 - l.k1*l.k1)"
+    third = f"({kernel('p', 'l')} - p.k1*l.k1 - p.k2*l.k2)/sqrt(l.r2)"
+    return with_(
+        SPLIT,
+        "train AS (SELECT * FROM data WHERE split = 'train')",
+        f"stats AS (SELECT {stats} FROM train)",
+        f"scaled AS (SELECT row_id, {scaled} FROM train, stats)",
+        "placed AS (SELECT *, row_number() OVER (ORDER BY md5('42|svm|' || CAST(row_id AS VARCHAR)), row_id) AS pos FROM scaled)",
+        f"one AS (SELECT p.*, {kernel('p', 'l')} AS k1 FROM placed p, (SELECT * FROM placed WHERE pos = 1) l)",
+        f"l2 AS (SELECT * FROM one WHERE pos <= {kernel_svm.POOL} ORDER BY k1*k1, pos LIMIT 1)",
+        f"two AS (SELECT p.*, {second} AS k2, 1e0 - p.k1*p.k1 - k2*k2 AS r2 FROM one p, l2 l)",
+        f"l3 AS (SELECT * FROM two WHERE pos <= {kernel_svm.POOL} ORDER BY r2 DESC, pos LIMIT 1)",
+        f"three AS (SELECT p.*, {third} AS k3 FROM two p, l3 l)",
+        body="SELECT row_id, round(r2 - k3*k3, 6) AS residual FROM three",
+    )
+
+
 def bayes_sql() -> str:
     aggs, ll = [], {}
     floor = "(1e-9*greatest(" + ", ".join(f"v_{f}" for f in LEAN) + "))"
@@ -821,6 +848,7 @@ FROM near GROUP BY qid""",
             body="""SELECT qid AS vec_id, neighbor_rank, neighbor_id, lab AS neighbor_target, round(sqrt(d2), 4) AS distance FROM near""",
         ),
         "random_tree_cuts": random_cuts_sql(),
+        "svm_residuals": svm_residuals_sql(),
         "gaussian_nb": bayes_sql(),
         "linear_shap": with_(PHI, body="SELECT * FROM phis"),
         "shap_global": with_(
