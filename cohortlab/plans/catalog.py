@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.functions.expressions import binary_flag, binary_flag_except, quadrant
+from cohortlab.functions.expressions import binary_flag, binary_flag_except, linear_score, logistic, quadrant
 from cohortlab.operators import (
     audit,
     balance,
@@ -25,6 +25,7 @@ from cohortlab.operators import (
     sampling,
     services,
 )
+from cohortlab.operators.kernel_shap import kernel_attributions
 from cohortlab.plans import experiments as ex
 from cohortlab.plans import fixed_scores
 from cohortlab.session import materialize, ship_package
@@ -43,6 +44,8 @@ REPORT_TIME = "2024-01-01 12:00:00"
 REPORT_FACTORS = 10
 ROOT_TREES = 10
 CHECKED_LANDMARKS = 3
+SVM_COALITIONS = 64
+SVM_BACKGROUND = 20
 SHOWN = ("n_lines", "qty", "total_cents")
 BOX_FEATURES = ("gross_cents", "max_line_cents", "qty", "disc_pts", "tax_pts")
 
@@ -621,6 +624,29 @@ def permutation_shap(spark, sf):
     return explain.permutation_attributions(test, ID, LEAN.features, test, fitted.score)
 
 
+def kernel_shap(spark, sf):
+    """Kernel SHAP of the fixed pricing model, whose three features allow every coalition: exact Shapley values."""
+    data = prepared(spark, sf)
+    intercept, weights = fixed_scores.LINEAR[("no_leakage", "pricing")]
+
+    def score(df):
+        return df.withColumn("p", logistic(linear_score(intercept, weights)))
+
+    test = split_of(data, "test")
+    table = kernel_attributions(test, ID, weights, test, score)
+    return table.select(ID, "feature", "value", F.round("phi", 6).alias("phi"), F.round("base_value", 6).alias("base_value"))
+
+
+def kernel_shap_svm(spark, sf):
+    """Kernel SHAP of the kernel SVM for the test rows."""
+    data = prepared(spark, sf)
+    ctx = context(data, LEAN)
+    train = ex.training_table(split_of(data, "train"), LEAN, balance.PARTIAL_RATIO, ctx.seed)
+    fitted = models.refined_models()["SVM"](train, ctx)
+    test = split_of(data, "test")
+    return kernel_attributions(test, ID, LEAN.features, test, fitted.score, SVM_COALITIONS, SVM_BACKGROUND)
+
+
 SQL_CHECKED = (
     audit_profile,
     null_counts,
@@ -680,6 +706,7 @@ SQL_CHECKED = (
     svm_residuals,
     gaussian_nb,
     linear_shap,
+    kernel_shap,
     shap_global,
     shap_grouped,
     shap_topn,
@@ -720,6 +747,7 @@ ROWS_ONLY = (
     forest_importance,
     tree_shap,
     permutation_shap,
+    kernel_shap_svm,
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from cohortlab.operators import kernel_svm, services
+from cohortlab.operators import explain, kernel_svm, services
 from cohortlab.plans import catalog, fixed_scores
 from cohortlab.sources.cohorts import DOCUMENTS, ORDERS
 
@@ -429,6 +429,32 @@ QUALIFY row_number() OVER (PARTITION BY tree ORDER BY
     )
 
 
+def kernel_shap_sql() -> str:
+    """Shapley values of three features from the scores of all eight coalitions."""
+    intercept, weights = fixed_scores.LINEAR[("no_leakage", "pricing")]
+    names = list(weights)
+
+    def coalition(members: int) -> str:
+        mixed = " + ".join(f"{number(w)}*{dbl(('t.' if members >> i & 1 else 'b.') + f)}" for i, (f, w) in enumerate(weights.items()))
+        return f"avg(1e0/(1e0+exp(-({number(intercept)} + {mixed})))) AS v{members}"
+
+    def phi(i: int) -> str:
+        me = 1 << i
+        j, k = (1 << o for o in range(3) if o != i)
+        return f"round((v{me} - v0 + v7 - v{j | k})/3e0 + (v{me | j} - v{j} + v{me | k} - v{k})/6e0, 6)"
+
+    return with_(
+        SPLIT,
+        "test AS (SELECT * FROM data WHERE split = 'test')",
+        f"bg AS (SELECT * FROM test ORDER BY md5('42|bg|' || CAST(row_id AS VARCHAR)), row_id LIMIT {explain.BACKGROUND_ROWS})",
+        f"scores AS (SELECT t.row_id, {', '.join(f'any_value(t.{f}) AS {f}' for f in names)}, {', '.join(map(coalition, range(8)))} FROM test t, bg b GROUP BY t.row_id)",
+        body="\nUNION ALL ".join(
+            f"SELECT row_id, '{f}' AS feature, {dbl(f)} AS value, {phi(i)} AS phi, round(v0, 6) AS base_value FROM scores"
+            for i, f in enumerate(names)
+        ),
+    )
+
+
 def svm_residuals_sql() -> str:
     """Three steps of a pivoted Cholesky factor, spelled out."""
     stats = ", ".join(
@@ -850,6 +876,7 @@ FROM near GROUP BY qid""",
         "random_tree_cuts": random_cuts_sql(),
         "svm_residuals": svm_residuals_sql(),
         "gaussian_nb": bayes_sql(),
+        "kernel_shap": kernel_shap_sql(),
         "linear_shap": with_(PHI, body="SELECT * FROM phis"),
         "shap_global": with_(
             PHI, body="SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM phis GROUP BY feature"
