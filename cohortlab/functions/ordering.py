@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.expressions import hash_bucket, hash_key
+from cohortlab.session import materialize
 
 EDGE_BUCKETS = 256
 EDGE_ACCURACY = 10000
+# Widths of a bracket around a quantile, as shares of the rows; the last one holds them all.
+BRACKET_REACHES = (4 / EDGE_ACCURACY, 0.01, 1.0)
 
 
 def _before(keys, order: str):
@@ -187,3 +190,79 @@ def exact_quantiles(counted: DataFrame, keys, value: str, shares: dict[str, floa
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return picked.select(*keys, F.col("_total").alias("n"), *out)
+
+
+def per_value(key: str, choices: dict, kind: str = "double") -> Column:
+    """The choice that belongs to the value of ``key``, null for other values; few choices only."""
+    out = F.lit(None).cast(kind)
+    for value, choice in choices.items():
+        out = F.when(F.col(key) == F.lit(value), F.lit(choice).cast(kind)).otherwise(out)
+    return out
+
+
+def bracketed_quantiles(df: DataFrame, group: str, columns, shares: dict[str, float]) -> dict[tuple, dict[str, float]]:
+    """Exact, linearly interpolated quantiles of several columns for each value of ``group``: numbers by (group, column).
+
+    One aggregate gives a sketch per column and group, whose rank error is at most rows/EDGE_ACCURACY. It puts a bracket
+    around every quantile that surely holds it; a second pass counts the rows below each bracket and groups the values inside.
+    Only those, some thousandths of the rows, are shuffled. Each result also has ``n``, ``minimum`` and ``maximum``. Nulls don't
+    count, NaN ends the job, a group without values of a column has no entry. ``group`` may have a few values only, null is none.
+    """
+    columns = list(columns)
+    rows = df.where(F.col(group).isNotNull()).select(group, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    probes = sorted({min(max(q + side * r, 0.0), 1.0) for q in shares.values() for r in BRACKET_REACHES for side in (-1, 1)})
+    first = []
+    for i in range(len(columns)):
+        v = F.col(f"v{i}")
+        first += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        first.append(F.percentile_approx(v, probes, EDGE_ACCURACY).alias(f"p{i}"))
+    seen = {r[group]: r for r in rows.groupBy(group).agg(*first).collect()} if columns else {}
+    found, brackets = {}, {}
+    for g, r in seen.items():
+        for i, c in enumerate(columns):
+            n = r[f"n{i}"]
+            if not n:
+                continue
+            found[g, c] = {"n": n, "minimum": r[f"lo{i}"], "maximum": r[f"hi{i}"]}
+            # wide enough for the sketch's error and the two rows that are interpolated
+            reach = next(w for w in BRACKET_REACHES if w == 1.0 or w >= 2 / EDGE_ACCURACY + 3 / n)
+            for name, q in shares.items():
+                low, high = (probes.index(min(max(q + side * reach, 0.0), 1.0)) for side in (-1, 1))
+                ends = (r[f"lo{i}"], r[f"hi{i}"]) if reach == 1.0 else (r[f"p{i}"][low], r[f"p{i}"][high])
+                brackets[g, i, name] = ends
+    if not brackets:
+        return found
+
+    def end(i: int, name: str, side: int) -> Column:
+        return per_value(group, {g: ends[side] for (g, j, k), ends in brackets.items() if (j, k) == (i, name)})
+
+    slots = [(i, name) for i in range(len(columns)) for name in shares]
+    inside, below = [], []
+    for s, (i, name) in enumerate(slots):
+        v, low, high = F.col(f"v{i}"), end(i, name, 0), end(i, name, 1)
+        inside.append(F.struct(F.lit(s).alias("slot"), F.when((v >= low) & (v <= high), v).alias("value")))
+        below.append(F.sum(F.when(v < low, 1).otherwise(0)).alias(f"b{s}"))
+    under = {r[group]: r for r in rows.groupBy(group).agg(*below).collect()}
+    kept = rows.select(group, F.explode(F.filter(F.array(*inside), lambda s: s["value"].isNotNull())).alias("_s"))
+    counted = materialize(value_counts(kept.select(group, "_s.*"), [group, "slot"], "value"), "brackets")
+    cum = running_totals(counted, [group, "slot"], "value", ["n"])
+    position, number = {}, {}
+    for (g, i, name) in brackets:
+        s = slots.index((i, name))
+        at = shares[name] * (found[g, columns[i]]["n"] - 1)
+        position[g, s], number[g, s] = at, under[g][f"b{s}"]
+    # one row per group, column and quantile
+    kind = dict(df.select(group).dtypes)[group]
+    wanted = [(g, s, int(at // 1) - number[g, s], int(-(-at // 1)) - number[g, s]) for (g, s), at in position.items()]
+    wanted = df.sparkSession.createDataFrame(wanted, f"`{group}` {kind}, slot int, _floor long, _ceil long")
+    hit = [
+        F.max(F.when((F.col("cum_n") - F.col("n") <= F.col(p)) & (F.col("cum_n") > F.col(p)), F.col("value"))).alias(f"at{p}")
+        for p in ("_floor", "_ceil")
+    ]
+    for r in cum.join(F.broadcast(wanted), [group, "slot"]).groupBy(group, "slot").agg(*hit).collect():
+        i, name = slots[r["slot"]]
+        at = position[r[group], r["slot"]]
+        if r["at_floor"] is None or r["at_ceil"] is None:
+            raise RuntimeError(f"the bracket of {name} of {columns[i]} misses it")
+        found[r[group], columns[i]][name] = r["at_floor"] + (r["at_ceil"] - r["at_floor"]) * (at - at // 1)
+    return found

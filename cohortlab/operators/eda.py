@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.expressions import count_where, equal_width_bin, long_form, ratio
-from cohortlab.functions.ordering import exact_quantiles, value_counts
-from cohortlab.session import materialize
+from cohortlab.functions.ordering import bracketed_quantiles, per_value
 
 HISTOGRAM_BINS = 25
 TOP_VARIANCE = 20
@@ -90,31 +89,40 @@ def correlation_lower(df: DataFrame, columns) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, target: str, columns) -> DataFrame:
-    """Per feature and class: extremes, exact quartiles, whiskers and outlier count."""
+    """Per feature and class: extremes, exact quartiles, whiskers and outlier count.
+
+    Reads ``df`` four times, so it should be cheap to read; rows are shuffled only where they lie next to a quartile. Nulls
+    don't count, NaN ends the job, a class without values of a feature has no row.
+    """
     columns = [c for c in columns if c in df.columns]
-    long = long_form(df, [target], columns, "feature", "value").where(F.col("value").isNotNull())
-    keys = ["feature", target]
-    counted = materialize(value_counts(long, keys, "value"), "box")
-    shares = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
-    quartiles = exact_quantiles(counted, keys, "value", shares)
-    reach = F.lit(WHISKER_REACH) * (F.col("q3") - F.col("q1"))
-    fenced = quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
-    # One row per feature and class.
-    joined = counted.withColumnRenamed("n", "_n").join(F.broadcast(fenced), keys)
-    inside = (F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high"))
-    out = joined.groupBy(*keys, "n", *shares).agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
-    )
-    return out.select(
-        *keys,
-        "n",
-        *[F.round(c, 4).alias(c) for c in shares],
-        F.round("whisker_low", 4).alias("whisker_low"),
-        F.round("whisker_high", 4).alias("whisker_high"),
-        "n_outliers",
-    )
+    names = ("minimum", "q1", "median", "q3", "maximum")
+    boxes = bracketed_quantiles(df, target, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+
+    def numbers(c: str, name: str, kind: str = "double") -> Column:
+        return per_value(target, {g: box[name] for (g, f), box in boxes.items() if f == c}, kind)
+
+    aggs = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        reach = F.lit(WHISKER_REACH) * (numbers(c, "q3") - numbers(c, "q1"))
+        inside = (value >= numbers(c, "q1") - reach) & (value <= numbers(c, "q3") + reach)
+        aggs += [F.min(F.when(inside, value)).alias(f"_low{i}"), F.max(F.when(inside, value)).alias(f"_high{i}")]
+        aggs.append(F.sum(F.when(inside | value.isNull(), 0).otherwise(1)).alias(f"_out{i}"))
+    reached = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    parts = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            numbers(c, "n", "bigint").alias("n"),
+            *[F.round(numbers(c, name), 4).alias(name) for name in names],
+            F.round(f"_low{i}", 4).alias("whisker_low"),
+            F.round(f"_high{i}", 4).alias("whisker_high"),
+            F.col(f"_out{i}").alias("n_outliers"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    long = reached.select(target, F.explode(F.array(*parts)).alias("_b")).where(F.col("_b.n") > 0)
+    fields = ("n", *names, "whisker_low", "whisker_high", "n_outliers")
+    return long.select(F.col("_b.feature").alias("feature"), target, *[F.col(f"_b.{f}").alias(f) for f in fields])
 
 
 def feature_direction(df: DataFrame, target: str, columns, ends: int = DIRECTION_ENDS) -> DataFrame:

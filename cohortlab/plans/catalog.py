@@ -165,7 +165,8 @@ def corr_lower(spark, sf):
 
 
 def box_stats(spark, sf):
-    return eda.box_statistics(cohort(spark, sf), TARGET, BOX_FEATURES)
+    rows = materialize(cohort(spark, sf).select(TARGET, *BOX_FEATURES), "box")
+    return eda.box_statistics(rows, TARGET, BOX_FEATURES)
 
 
 def feature_direction(spark, sf):
