@@ -21,7 +21,7 @@ TIERS = {
     ),
 }
 TIER_COLORS = {"Low Risk": "#4D96FF", "Moderate Risk": "#FFD93D", "High Risk": "#FF6B6B"}
-TIER_ICONS = {"Low Risk": "✅", "Moderate Risk": "⚠️", "High Risk": "\U0001f6a8"}
+TIER_ICONS = {"Low Risk": "✅", "Moderate Risk": "⚠️", "High Risk": "🚨"}
 INCREASES, REDUCES = "Increases Risk", "Reduces Risk"
 DISCLAIMER = (
     "Disclaimer: This report is generated by an AI research system for educational and "
