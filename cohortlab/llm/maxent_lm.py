@@ -45,10 +45,12 @@ PRIOR = 2.0
 TOKENS_PER_TASK = 4_000_000
 LEAST_TASKS = 8
 SLICE = 8_192  # tokens handled at once
+SINGLY = 3  # values of a bucket that are added one by one
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint64(0x73746172745F6F66)
 _SALT = textscan.mix(np.arange(71, 75, dtype=np.uint64))
+_ONES = np.ones(WIDTH, dtype=np.float32)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +126,13 @@ class Model:
 
     @staticmethod
     def softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        x = weights[rows[0]] + bias
+        x = weights.take(rows[0], axis=0, mode="clip")  # buckets are in bounds; clip spares the copy that raising needs
+        x += bias
         for r in rows[1:]:
-            x += weights[r]
+            x += weights.take(r, axis=0, mode="clip")
         x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+        x *= (1 / (x @ _ONES))[:, None]
         return x
 
     def both(self, tokens: np.ndarray, features: list[np.ndarray]):
@@ -150,10 +153,19 @@ class Model:
 
 
 def _sum_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each value to its row of ``out``: most buckets occur once or twice, the others' further values go as segments."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # buckets fit; such keys are sorted by radix
     ordered = rows[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
+    times = np.diff(np.r_[first, len(rows)])
+    for k in range(SINGLY):
+        at = first[times > k] + k
+        out[ordered[at]] += values[order[at]]
+    more = times > SINGLY
+    if more.any():
+        late = np.arange(len(rows)) - np.repeat(first, times) >= SINGLY
+        left = times[more] - SINGLY
+        out[ordered[first[more]]] += np.add.reduceat(values[order[late]], np.cumsum(left) - left, axis=0)
 
 
 def _gradient(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
