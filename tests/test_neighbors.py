@@ -169,3 +169,18 @@ def test_smote_refuses_impossible_input(spark, unbalanced):
     few = unbalanced.where(F.col("id") >= 26)
     with pytest.raises(ValueError, match="at least 6"):
         balance.smote(few, "id", "y", ["a", "b"])
+
+
+def test_a_block_meets_few_of_its_points(monkeypatch):
+    """Leaves inside a block give what the whole block gives, at a small share of the distances."""
+    met, plain = [], neighbors._nearest
+    monkeypatch.setattr(neighbors, "_nearest", lambda q, p, *rest: met.append(len(q) * len(p)) or plain(q, p, *rest))
+    rng = np.random.default_rng(21)
+    p, q = np.round(rng.normal(size=(8000, 3)), 2), np.round(rng.normal(size=(4000, 3)), 2)
+    p_ids, q_ids = np.arange(8000), np.arange(4000)
+    for bound in (np.full(4000, np.inf), np.full(4000, 0.01)):
+        met.clear()
+        found = neighbors._search_leaves(q, p, 5, bound, q_ids, p_ids, True)
+        assert sum(met) < 0.3 * 8000 * 4000
+        whole = plain(q, p, 5, bound, q_ids[:, None] == p_ids[None, :])
+        assert all((a == b).all() for a, b in zip(found, whole, strict=True))
