@@ -96,3 +96,27 @@ def test_one_feature_ties_and_empty_tables(spark):
     assert ks.kernel_attributions(table(spark, x).where("id > 9"), "id", NAMES, pool, curved_column, budget=16).count() == 0
     with pytest.raises(ValueError, match="no rows"):
         ks.kernel_attributions(table(spark, x), "id", NAMES, pool.where("id > 9"), curved_column)
+
+
+def test_scores_in_tasks_agree_with_scored_rows(spark):
+    """The kernel machine's numpy scores give the attributions of its column scores; a null is refused both ways."""
+    from cohortlab.operators import explain, kernel_svm, models, prep
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    rows, ctx = table(spark, x), models.Context("id", "y", NAMES)
+    scaler = prep.Scaler.fit(rows, NAMES)
+    factor = kernel_svm.LandmarkFactor.choose(rng.normal(size=(40, 8)), 0.125, 20)
+    for f in (factor, kernel_svm.FourierFactor.draw(8, 0.125, 16, 1)):
+        width = f(np.zeros((1, 8))).shape[1] + 1
+        fitted = models.FittedKernelSvm(scaler, ctx, kernel_svm.KernelSvm(f, rng.normal(size=(2, width)), 1.5, 0.2))
+        slow = ks.kernel_attributions(rows, "id", NAMES, rows, fitted.score, 64, 10)
+        fast = ks.kernel_attributions(rows, "id", NAMES, rows, fitted.score, 64, 10, in_tasks=fitted.in_tasks())
+        walks = [explain.permutation_attributions(rows, "id", NAMES, rows, fitted.score, in_tasks=t) for t in (None, fitted.in_tasks())]
+        for a, b in ((slow, fast), walks):
+            a, b = ({(r["id"], r["feature"]): (r["base_value"], r["phi"], r["value"]) for r in t.collect()} for t in (a, b))
+            assert len(a) == 480 and a.keys() == b.keys()
+            assert max(abs(u - v) for key in a for u, v in zip(a[key], b[key])) < 1e-9
+    holes = spark.createDataFrame([(1, None, *[0.0] * 7)], rows.schema)
+    with pytest.raises(Exception, match="null in feature f0"):
+        ks.kernel_attributions(holes, "id", NAMES, rows, fitted.score, 64, 10, in_tasks=fitted.in_tasks()).collect()
