@@ -136,3 +136,14 @@ def test_stability_summary(spark):
     df = spark.createDataFrame([("a", 0.8), ("a", 0.81), ("b", 0.5), ("b", 0.9)], "model string, score double")
     got = {r["model"]: r["stable"] for r in metrics.stability_summary(df).collect()}
     assert got == {"a": 1, "b": 0}
+
+
+def test_shuffled_labels_are_sorted_by_as_many_tasks_as_the_rows_need(spark, monkeypatch):
+    rows = [(i % 2, 0.5, i % 3 % 2) for i in range(90)]
+    table = predictions(spark, rows)
+    few = metrics.shuffled_label_check(table).collect()
+    monkeypatch.setattr(metrics, "ROWS_PER_SORT", 2)
+    many = metrics.shuffled_label_check(table)
+    assert many.collect() == few
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 45), REPARTITION_BY_NUM") >= 4
