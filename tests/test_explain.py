@@ -2,6 +2,7 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -90,6 +91,55 @@ def test_path_attributions_equal_the_shapley_definition(monkeypatch, table_limit
             assert phi[i] == pytest.approx(want, abs=1e-12)
 
 
+def _random_paths(rng, trees, depth, d):
+    """Leaves of random trees over d features whose thresholds are tenths."""
+    found = {}
+    seen = 0
+    for _ in range(trees):
+        todo = [(0, {})]
+        while todo:
+            level, tests = todo.pop()
+            f, cut = int(rng.integers(d)), rng.integers(-15, 16) / 10
+            low, high, share = tests.get(f, (-np.inf, np.inf, 1.0))
+            if level == depth or not low < cut < high:
+                found.setdefault(len(tests), []).append((tests, rng.normal(), seen))
+                seen += 1
+                continue
+            left = rng.uniform(0.1, 0.9)
+            todo.append((level + 1, {**tests, f: (low, cut, share * left)}))
+            todo.append((level + 1, {**tests, f: (cut, high, share * (1 - left))}))
+    out = []
+    for m, leaves in sorted(found.items()):
+        grid = [[(f, *t) for f, t in tests.items()] for tests, _, _ in leaves]
+        feature, low, high, share = (np.array([[c[k] for c in row] for row in grid]).reshape(len(leaves), m) for k in range(4))
+        values, order = np.array([v for _, v, _ in leaves]), np.array([p for _, _, p in leaves])
+        out.append(explain.LeafPaths(feature.astype(int), low, high, share, values, order))
+    return out
+
+
+@pytest.mark.parametrize(("cells", "table_limit"), [(1024, 9), (64, 3), (1, 9)])
+def test_one_lookup_explains_neighbouring_leaves(monkeypatch, cells, table_limit):
+    monkeypatch.setattr(explain, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(explain, "MAX_TABLE_TESTS", table_limit)
+    rng = np.random.default_rng(5)
+    paths = _random_paths(rng, trees=6, depth=7, d=5)
+    leaves = sum(len(g.feature) for g in paths if 0 < g.feature.shape[1] <= table_limit)
+    tables = explain.leaf_tables(paths)
+    assert sum(len(b.leaf_value) for b in tables.blocks) == leaves
+    assert (len(tables.blocks) < leaves / 2) if cells == 1024 else (len(tables.blocks) <= leaves)
+    x = rng.integers(-20, 21, (400, 5)) / 10  # many values lie on a threshold
+    x[0, 1], x[1, 2], x[2, 0], x[3] = np.nan, -np.inf, np.inf, np.nan
+    want = explain._tested_attributions(x, paths)
+    assert np.allclose(explain._path_attributions(x, paths), want, atol=1e-12, rtol=0)
+
+
+def test_batches_are_joined_up_to_a_size():
+    batches = [pd.DataFrame({"a": range(i, i + 3)}) for i in range(0, 15, 3)]
+    joined = list(explain._joined(iter(batches), 6))
+    assert [len(p) for p in joined] == [6, 6, 3] and [*pd.concat(joined)["a"]] == list(range(15))
+    assert list(explain._joined(iter([]), 6)) == []
+
+
 def test_a_tree_without_splits_explains_nothing():
     empty = np.zeros((1, 0))
     leaf = explain.LeafPaths(empty.astype(int), empty, empty, empty, np.array([0.3]))
