@@ -4,11 +4,13 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlab.functions.ordering import hash_rank, running_totals
 from cohortlab.operators import explain, sampling
 from cohortlab.plans import catalog
 from cohortlab.session import materialize
+from cohortlab.sources.cohorts import cents
 
 PACKAGE = Path(catalog.__file__).resolve().parents[1]
 
@@ -56,3 +58,12 @@ def test_no_forbidden_calls():
         text = source.read_text()
         for pattern in banned:
             assert not re.search(pattern, text), (source, pattern)
+
+
+def test_cents_round_halves_away_from_zero_without_decimal_text(spark, small):
+    values = [0.0, -0.0, 0.005, 0.015, 0.025, -0.005, -0.025, 1.005, 0.00499999999999999, 0.285, 12345.675, 99999.995, -99999.995]
+    values += [i / 1000 for i in range(-3000, 3000, 5)] + [4.5e13, -4.5e13, 45035996273704.955, None]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    wrong = table.where(~cents(F.col("v")).eqNullSafe(F.round(F.col("v") * 100).cast("bigint")))
+    assert wrong.count() == 0
+    assert "round(" not in plan_of(catalog.cohort(spark, small))
