@@ -5,14 +5,23 @@ to the least (large-star and small-star); links never grow in number and the lea
 component is the centre of a star after a logarithmic number of rounds.  A round is a partial
 aggregation and a join on the node, whose hot keys adaptive execution can split.  Only counts
 reach the driver.
+
+Before each round the tasks replace blocks of their links by stars with the same components, which
+takes no shuffle and leaves at most one link a node and block.  A table of at most ``BLOCK`` links is
+settled by that alone; larger tables are dealt over as many more tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import drop_path, scratch_path
+from cohortlab.llm.common import drop_path, partitions_for, rebatch, scratch_path
+
+BLOCK = 100_000  # links that a task contracts at once
 
 
 def _written(links: DataFrame) -> tuple[DataFrame, str]:
@@ -21,6 +30,32 @@ def _written(links: DataFrame) -> tuple[DataFrame, str]:
     return links.sparkSession.read.parquet(path), path
 
 
+def _contract(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of links replaced by links of each of their nodes to the least node it reaches in the block."""
+    for table in rebatch(batches, block):
+        up: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            least = node
+            while (above := up.setdefault(least, least)) != least:  # noqa: B023
+                least = above
+            while node != least:
+                up[node], node = least, up[node]  # noqa: B023
+            return least
+
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        nodes = [node for node in up if root(node) != node]
+        stars = [pa.array(nodes, pa.int64()), pa.array([root(node) for node in nodes], pa.int64())]
+        yield pa.RecordBatch.from_arrays(stars, names=["a", "b"])
+
+
+def _contracted(links: DataFrame, n: int) -> DataFrame:
+    block = BLOCK
+    return links.coalesce(partitions_for(n, block)).mapInArrow(lambda batches: _contract(batches, block), "a long, b long")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
@@ -45,6 +80,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        after, new_path = _written(_contracted(links, before[0]))
+        drop_path(links.sparkSession, path)
+        links, path = after, new_path
+        if before[0] <= BLOCK:
+            break
         after, new_path = _written(_small_star(_large_star(links)).distinct())
         drop_path(links.sparkSession, path)
         links, path = after, new_path

@@ -4,8 +4,9 @@
    Equal sets are one class, so exact copies cost nothing further.
 2. Registers make 60 bands of six.  Band keys that several classes share are buckets; at the
    similarity asked for, two sets miss each other in all bands about once in 10^5 cases, and far
-   less often above it.  In a bucket all pairs are estimated from their registers, as a matrix in
-   one task, and only a spanning forest of the promising pairs leaves it.  Larger buckets (more than
+   less often above it.  In a bucket pairs are estimated from their registers until a spanning
+   forest of the promising ones is known, which alone leaves it: a class once reached is only
+   compared with those not reached yet, so alike classes take few comparisons.  Larger buckets (more than
    BUCKET classes, which only alike documents make) leave a star.
 3. The components of these links are candidate groups.  Their sets are read again from the texts,
    and each group is verified on full sets: pairs in order of their estimate, only if not linked yet.
@@ -103,6 +104,24 @@ def _promising(registers: np.ndarray, sizes: np.ndarray, left: np.ndarray, right
     return list(zip(np.concatenate(firsts)[order].tolist(), np.concatenate(seconds)[order].tolist(), strict=True))
 
 
+def _spanning(registers: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """A spanning forest of the pairs of ``members`` above the cutoff: rows and, of each, the rows it reached."""
+    cutoff, rows, reached = _cutoff(), [], []
+    unseen, waiting = members, []
+    while len(unseen):
+        if not waiting:
+            waiting, unseen = [int(unseen[0])], unseen[1:]
+            continue
+        row = waiting.pop()
+        near = _near(registers, sizes, unseen, row) >= cutoff
+        if near.any():
+            rows.append(row)
+            reached.append(unseen[near])
+            waiting += unseen[near].tolist()
+            unseen = unseen[~near]
+    return rows, reached
+
+
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written table of id, set size, set hash and registers of every row."""
 
@@ -156,12 +175,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             fits &= setsketch.estimate(above, below, a, b, setsketch.REGISTERS) >= _cutoff()
         left, right = [nodes[pair[fits]]], [nodes[pair[fits] + 1]]
         for at, n in zip(edges[:-1][length > 2], length[length > 2], strict=True):
-            members = np.arange(at, at + n)
-            forest = _Forest(n)
-            kept = [(i, j) for i, j in _promising(registers, sizes, members, members) if forest.join(i - at, j - at)]
-            if kept:
-                left.append(nodes[[i for i, _ in kept]])
-                right.append(nodes[[j for _, j in kept]])
+            for row, others in zip(*_spanning(registers, sizes, np.arange(at, at + n)), strict=True):
+                left.append(np.full(len(others), nodes[row]))
+                right.append(nodes[others])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
