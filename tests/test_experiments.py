@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.operators import models
+from cohortlab.plans import catalog
 from cohortlab.plans.experiments import Experiment, run_experiments
 from cohortlab.spec import PATIENT_SCHEMA, PATIENTS
 
@@ -66,6 +67,24 @@ def test_cross_validation_failure_is_recorded(spark):
     assert (row["status"], row["error"]) == ("failed", "a fold cannot be fitted") and done.cv is None
 
 
+def test_queries_on_all_models_raise_for_a_failed_one(spark, tmp_path, monkeypatch):
+    def broken(train, ctx):
+        raise ValueError("cannot train")
+
+    registry = {"broken": broken, "Naive Bayes": models.refined_models()["Naive Bayes"]}
+    rows = spark.range(400).selectExpr(
+        "id row_id", "cast(id % 7 = 0 as int) target", "'1-URGENT' o_orderpriority", *(f"xxhash64(id, '{f}') % 100 {f}" for f in catalog.ORDERS.features if f != "o_orderpriority")
+    )
+    monkeypatch.setattr(catalog, "cohort", lambda spark, sf: rows)
+    monkeypatch.setattr(catalog.ex.run_experiments, "__defaults__", (catalog.ex.REFINED_EXPERIMENTS, lambda: registry, *catalog.ex.run_experiments.__defaults__[2:]))
+    for query in (catalog.experiments, catalog.smote_comparison):  # the second finds no table kept by the first
+        with pytest.raises(RuntimeError, match="3 of 6 trainings failed: broken .full.: cannot train; broken .no_leakage.: ") as raised:
+            query(spark, str(tmp_path))
+        assert isinstance(raised.value.__cause__, ValueError)
+    del registry["broken"]
+    assert catalog.experiments(spark, str(tmp_path)).count() == 3
+
+
 def test_leaderboard_has_training_time_and_no_folds(run):
     board = run.leaderboard().collect()
     seconds = {(r["experiment"], r["model"]): r["seconds"] for r in run.status.collect()}
