@@ -184,3 +184,28 @@ def test_a_block_meets_few_of_its_points(monkeypatch):
         assert sum(met) < 0.3 * 8000 * 4000
         whole = plain(q, p, 5, bound, q_ids[:, None] == p_ids[None, :])
         assert all((a == b).all() for a, b in zip(found, whole, strict=True))
+
+
+def test_points_are_copied_for_the_queries_that_visit_them(spark, monkeypatch):
+    """Query nodes meet many nodes that few of their queries reach; the points there travel to those few only."""
+    for name, value in (("NODE_ROWS", 64), ("BLOCK_QUERIES", 8)):
+        monkeypatch.setattr(neighbors, name, value)
+    scanned, scan = [], neighbors._scan
+
+    def noted(asked, points, slices, *more):
+        scanned.append((asked, {r["_node"]: r["_slices"] for r in slices.collect()}))
+        return scan(asked, points, slices, *more)
+
+    monkeypatch.setattr(neighbors, "_scan", noted)
+    x = np.random.default_rng(8).uniform(size=(3000, 2))
+    table = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    got = neighbors.knn_join(table, table, ["a", "b"], 3, "id", "id", exclude_self=True).collect()
+    asked, slices = scanned[1]
+    visits = {}
+    for r in asked.groupBy("_node", "_chunk").count().collect():
+        visits[r["_node"]] = max(visits.get(r["_node"], 0), -(-r["count"] // 8))
+    assert slices == visits and len(slices) > 8
+    far = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    right = np.argsort(far, axis=1, kind="stable")[:, :3]
+    assert len(got) == 9000 and all(right[r["id"], r["neighbor_rank"] - 1] == r["neighbor_id"] for r in got)
